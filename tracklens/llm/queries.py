@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pfor
+from . import fingerprint, language, packing, pfor
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +15,17 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfor.token_index(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op8_best_fit_packing)}
+def op10_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_language_spans, op8_best_fit_packing, op10_chunk_fingerprints)}
 ORACLES: dict[str, str] = {}
