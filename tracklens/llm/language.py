@@ -52,6 +52,7 @@ class Model:
 
     def __init__(self, counts: dict[tuple[str, str], int]):
         """counts: of (language, gram) with grams of 1 to ORDER letters in words between blanks, and of scripts as "\\tname"."""
+        self.made: dict = {}
         self.langs = sorted({lang for lang, _ in counts})
         at = {lang: i for i, lang in enumerate(self.langs)}
         n_langs = len(self.langs)
@@ -80,6 +81,12 @@ class Model:
                 context = by.get(g[:-1], np.zeros(n_langs))
                 self.score[g] = np.where((v > 0) & (context > 0), np.log(np.maximum(v, 1e-9) / np.maximum(context, 1)), self.score.get(g[1:], self.none) + BACK_OFF)
 
+    def labeller(self, penalty: float, floor: float) -> "Labeller":
+        """One for all tasks of a Python worker, so its words stay known."""
+        if (penalty, floor) not in self.made:
+            self.made[penalty, floor] = Labeller(self, penalty, floor)
+        return self.made[penalty, floor]
+
     def of(self, word: str) -> np.ndarray:
         """Log-likelihood of a letter run in each language."""
         w, out = f" {word.lower()} ", 0.0
@@ -227,7 +234,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 8.0, floor: float =
     ours = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
     def label(batches):
-        labeller = Labeller(held.value, penalty, floor)
+        labeller = held.value.labeller(penalty, floor)
         for b in batches:
             got = labeller.label(b.column(b.schema.get_field_index("text")).to_pylist())
             spans = pa.array([[{"start": a, "end": e, "lang": lang} for a, e, lang in x[2]] for x in got], pa.list_(ours))
