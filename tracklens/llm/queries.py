@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, language, mixing, packing, pfor
+from . import fingerprint, jaccard, language, mixing, packing, pfor
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(_table(spark, sf_dir, "documents"))
 
 
+def op7_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op10_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_language_spans, op8_best_fit_packing, op9_curriculum_mix, op10_chunk_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_language_spans, op7_bayes_jaccard, op8_best_fit_packing, op9_curriculum_mix, op10_chunk_fingerprints)}
 ORACLES = {"op9_curriculum_mix": mixing.ORACLE}
