@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard, language, mixing, packing, pfor
+from . import fingerprint, jaccard, language, mixing, packing, pfor, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(_table(spark, sf_dir, "documents"))
 
 
+def op3_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filter_urls(_table(spark, sf_dir, "pages"))
+
+
+def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(_table(spark, sf_dir, "pages"))
+
+
 def op7_bayes_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -35,5 +43,5 @@ def op10_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_language_spans, op7_bayes_jaccard, op8_best_fit_packing, op9_curriculum_mix, op10_chunk_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_language_spans, op3_url_language_model, op4_warc_archives, op7_bayes_jaccard, op8_best_fit_packing, op9_curriculum_mix, op10_chunk_fingerprints)}
 ORACLES = {"op9_curriculum_mix": mixing.ORACLE}
