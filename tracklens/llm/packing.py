@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, staged
-from .tokens import Encoder, vocabulary
+from .tokens import encoder, vocabulary
 
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -35,10 +35,10 @@ def cut(docs: DataFrame, vocab: str, end_id: int, capacity: int) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def pieces(batches):
-        encoder, end = Encoder(vocab, False), np.array([end_id], "<u4").tobytes()
+        coder, end = encoder(vocab, False), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows = []
-            for d, ids in zip(b.column(0).to_pylist(), encoder.encode_batch(b.column(1).to_pylist())):
+            for d, ids in zip(b.column(0).to_pylist(), coder.encode_batch(b.column(1).to_pylist())):
                 ids += end
                 n = len(ids) // 4
                 at, k = 0, 0

@@ -7,6 +7,7 @@ come from a dictionary.  The ids equal those of encoding the whole text (tested)
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 from array import array
@@ -114,6 +115,12 @@ class Encoder:
         return [h + b"".join(map(get, p)) for h, (_, p) in zip(heads, cut)]
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, drops_space: bool) -> Encoder:
+    """One encoder for all tasks of a Python worker, so its cache stays warm."""
+    return Encoder(path, drops_space)
+
+
 def _bytes(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
