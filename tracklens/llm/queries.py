@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard, language, mixing, packing, pfor, urls, warc, wrapper
+from . import fingerprint, jaccard, language, mixing, neighbours, packing, pfor, urls, warc, wrapper
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_table(spark, sf_dir, "pages"))
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(_table(spark, sf_dir, "pages"))
 
@@ -47,5 +51,5 @@ def op10_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_shards, op2_language_spans, op3_url_language_model, op4_warc_archives, op6_wrapper_induction, op7_bayes_jaccard, op8_best_fit_packing, op9_curriculum_mix, op10_chunk_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_token_shards, op2_language_spans, op3_url_language_model, op4_warc_archives, op5_nn_descent, op6_wrapper_induction, op7_bayes_jaccard, op8_best_fit_packing, op9_curriculum_mix, op10_chunk_fingerprints)}
 ORACLES = {"op9_curriculum_mix": mixing.ORACLE}
