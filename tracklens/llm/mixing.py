@@ -63,7 +63,7 @@ def targets(sized: DataFrame, most: int = 3) -> DataFrame:
     heavy = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     per = per.withColumn("level", left / heavy)
     right = F.when(F.col("level") * F.col("weight") <= F.col("source_size") * most, F.col("level"))
-    level = F.coalesce(F.min(right).over(everything), F.lit(0.0))
+    level = F.coalesce(F.max(right).over(everything), F.lit(0.0))  # levels fall once one is right
     return per.withColumn("target", F.least((F.col("source_size") * most).cast("double"), level * F.col("weight"))).drop("level")
 
 
@@ -139,7 +139,7 @@ per AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDE
 weighed AS (SELECT *, CASE place % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, CASE place % 3 WHEN 0 THEN -0.5::DOUBLE WHEN 1 THEN 0.0 ELSE 0.5 END AS slope FROM per),
 levels AS (SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER before, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS level
   FROM weighed WINDOW before AS (ORDER BY source_size * 3 / weight::DOUBLE, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-goal AS (SELECT *, least((source_size * 3)::DOUBLE, coalesce(min(CASE WHEN level * weight <= source_size * 3 THEN level END) OVER (), 0) * weight) AS target FROM levels),
+goal AS (SELECT *, least((source_size * 3)::DOUBLE, coalesce(max(CASE WHEN level * weight <= source_size * 3 THEN level END) OVER (), 0) * weight) AS target FROM levels),
 placed AS (SELECT s.doc_id, s.size, g.source_size, g.target, g.slope,
     (sum(s.size) OVER (PARTITION BY s.source ORDER BY s.turn, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) - s.size)::BIGINT AS begins
   FROM sized s JOIN goal g ON s.source IS NOT DISTINCT FROM g.source),
