@@ -162,7 +162,8 @@ def candidate_groups(sketched: DataFrame) -> DataFrame:
     """node, root for each node that shares a band key with another."""
     rows = sketched.where("doc_id IS NOT NULL").select("key", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "low")
-    return components(rows.join(shared, "band").where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct())
+    # merge joins here and for the texts: one plan at every size
+    return components(rows.join(shared.hint("merge"), "band").where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct())
 
 
 def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float, tolerance: float, block: int) -> tuple[DataFrame, bool]:
@@ -172,7 +173,7 @@ def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: fl
     members = groups.join(sizes, "root").join(nodes, groups["node"] == nodes["key"]).select("root", "blocks", "key", "rep", "copies")
     members = staged(members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))), "members")
     several = members.agg(F.coalesce(F.max("blocks"), F.lit(0))).first()[0] > 1
-    texts = members.join(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")), "rep")
+    texts = members.hint("merge").join(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")), "rep")
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
 
     def to_sets(batches):
