@@ -1,4 +1,560 @@
-"""Names of all registered queries and of their oracle SQL."""
+"""All registered queries, and for those that SQL can express the equivalent SQL."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as T
+from ..functions import timefmt
+from ..functions.lexicon import build
+from ..operators import audit, intervals, merge, paragraphs, segment, speakers
+from ..sources import readers, writers
+from ..streaming import windows as streams
+from .views import CONV, EV, ISLANDS, PAIRS, conversation_segments, event_segments, pairs, recordings_of, table
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+HOUR = 3_600_000
+FIXES = [("the ", "teh "), ("and", "und"), ("er", "re"), ("zzzz", "yyyy")]
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if there is any."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _ev(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = event_segments(spark, sf_dir)
+    return e, recordings_of(e, HOUR)
+
+
+EV_ISLANDS = f"WITH {EV}, {ISLANDS.format('ev_seg', 'isl')}"
+
+
+# ---- intervals
+
+
+@query(f"{EV_ISLANDS} SELECT recording_id, island::BIGINT AS island, a, b, n_segments FROM isl")
+def interval_union(spark, sf_dir):
+    return intervals.islands(event_segments(spark, sf_dir)).select("recording_id", F.col("island").cast("long").alias("island"), "a", "b", "n_segments")
+
+
+COVERAGE = """SELECT r.recording_id, duration, coalesce(cover, 0)::BIGINT AS cover, CASE WHEN duration > 0 THEN round(100.0::DOUBLE * coalesce(cover, 0) / duration, 6) ELSE 0 END AS cover_pct,
+  round(coalesce(thirds, 0)::DOUBLE / 3, 3) AS speech, CASE WHEN duration > 0 THEN round(100.0::DOUBLE * (coalesce(thirds, 0)::DOUBLE / 3) / duration, 6) ELSE 0 END AS speech_pct,
+  starved, chars, n_segments
+FROM {rec} r LEFT JOIN (SELECT recording_id, sum(b - a) AS cover FROM isl GROUP BY 1) c USING (recording_id)
+LEFT JOIN (SELECT recording_id, sum(least(("end" - start) * 3, spoken * 1000)) AS thirds, count(*) FILTER ("end" - start >= {least} AND spoken * 1000 < {density} * ("end" - start)) AS starved,
+  sum(chars)::BIGINT AS chars, count(*) AS n_segments FROM {seg} GROUP BY 1) t USING (recording_id)"""
+
+
+@query(f"WITH {CONV}, {ISLANDS.format('conv_seg', 'isl')} " + COVERAGE.format(rec="conv_rec", seg="conv_seg", least=15000, density=1.2))
+def coverage_report(spark, sf_dir):
+    s = conversation_segments(spark, sf_dir)
+    return intervals.coverage(s, recordings_of(s, 1000))
+
+
+@query(f"{EV_ISLANDS} " + COVERAGE.format(rec="ev_rec", seg="ev_seg", least=15000, density=0.05))
+def effective_speech(spark, sf_dir):
+    e, r = _ev(spark, sf_dir)
+    return intervals.coverage(e, r, density=0.05)
+
+
+@query(f"{EV_ISLANDS} SELECT recording_id, sum(b - a)::BIGINT AS cover, max(b) - min(a) AS extent, count(*) AS islands FROM isl GROUP BY 1")
+def coverage_extent(spark, sf_dir):
+    return intervals.islands(event_segments(spark, sf_dir)).groupBy("recording_id").agg(F.sum(F.col("b") - F.col("a")).alias("cover"), (F.max("b") - F.min("a")).alias("extent"), F.count("*").alias("islands"))
+
+
+GAPS = """gaps AS (SELECT recording_id, from_ms, to_ms FROM (
+  SELECT recording_id, coalesce(lag(b) OVER (PARTITION BY recording_id ORDER BY a), 0) AS from_ms, a AS to_ms FROM isl
+  UNION ALL SELECT r.recording_id, coalesce(max(b), 0), any_value(duration) FROM ev_rec r LEFT JOIN isl USING (recording_id) GROUP BY 1) WHERE to_ms - from_ms >= 3600000)"""
+
+
+@query(f"{EV_ISLANDS}, {GAPS} SELECT recording_id, from_ms, to_ms FROM gaps")
+def gaps_ge_min(spark, sf_dir):
+    e, r = _ev(spark, sf_dir)
+    return intervals.gaps(intervals.islands(e), r, HOUR)
+
+
+@query(f"""WITH {EV}, hungry AS (SELECT recording_id, start, "end" - start AS n, greatest(1, ceil(("end" - start) / 90000.0))::BIGINT AS pieces FROM ev_seg WHERE "end" - start >= 15000 AND spoken * 1000 < 1.2 * ("end" - start))
+SELECT recording_id, start + (k * n) // pieces AS a, start + ((k + 1) * n) // pieces AS b, 'starved' AS label FROM hungry, LATERAL (SELECT unnest(range(pieces)) AS k)""")
+def starved_spans_chopped(spark, sf_dir):
+    return intervals.starved_spans(event_segments(spark, sf_dir))
+
+
+SPANS = "spans AS (SELECT recording_id, start AS a, start + 1800000 AS b, row_number() OVER (PARTITION BY recording_id ORDER BY seg_ord)::INT AS span_ord FROM ev_seg WHERE text = 'purchase' AND seg_ord % 5 = 0)"
+
+
+def _spans(e: DataFrame) -> DataFrame:
+    nth = F.row_number().over(Window.partitionBy("recording_id").orderBy("seg_ord"))
+    return e.where("text = 'purchase' AND seg_ord % 5 = 0").select("recording_id", F.col("start").alias("a"), (F.col("start") + 1_800_000).alias("b"), nth.alias("span_ord"))
+
+
+IN_ANY = f"WITH {EV}, {SPANS} SELECT recording_id, seg_ord, start FROM ev_seg e WHERE {{0}} EXISTS (SELECT 1 FROM spans s WHERE s.recording_id = e.recording_id AND e.start BETWEEN s.a - 200 AND s.b + 200)"
+
+
+@query(IN_ANY.format(""))
+def in_any_semi(spark, sf_dir):
+    e = event_segments(spark, sf_dir)
+    return intervals.in_any(e, _spans(e), 200).select("recording_id", "seg_ord", "start")
+
+
+@query(IN_ANY.format("NOT"))
+def in_any_anti(spark, sf_dir):
+    e = event_segments(spark, sf_dir)
+    return intervals.in_any(e, _spans(e), 200, keep=False).select("recording_id", "seg_ord", "start")
+
+
+@query(IN_ANY.format(""))
+def in_any_bucketed(spark, sf_dir):
+    e = event_segments(spark, sf_dir)
+    return intervals.in_any(e, _spans(e), 200, step=HOUR).select("recording_id", "seg_ord", "start")
+
+
+@query(f'WITH {EV}, {SPANS} SELECT s.recording_id, span_ord, coalesce(sum(chars), 0)::BIGINT AS have FROM spans s LEFT JOIN ev_seg e ON s.recording_id = e.recording_id AND e.start < s.b AND e."end" > s.a GROUP BY ALL')
+def overlap_join(spark, sf_dir):
+    e = event_segments(spark, sf_dir)
+    return intervals.overlapping_chars(e, _spans(e))
+
+
+# ---- audit
+
+
+@query(f"""WITH {EV} SELECT recording_id, seg_ord, action, action <> 'keep' AS is_hallucination FROM (SELECT *,
+  CASE WHEN NOT (stock OR unsure OR dead) THEN 'keep' WHEN unsure AND n > 5000 AND spoken * 1000 < 0.5 * n THEN 'drop' WHEN db > -36 AND stock THEN 'retranscribe' WHEN db > -36 THEN 'keep' ELSE 'drop' END AS action
+  FROM (SELECT *, text IN ('purchase', 'signup') AS stock, avg_logprob < -1 AS unsure, spoken > 0 AND db < -53 AS dead, "end" - start AS n FROM ev_seg))""")
+def hallucination_actions(spark, sf_dir):
+    e = event_segments(spark, sf_dir).withColumn("speech_db", F.lit(-28.0))
+    return audit.judged(e, "purchase|signup").select("recording_id", "seg_ord", "action", "is_hallucination")
+
+
+@query("SELECT doc_id, regexp_matches(text, 'License|TODO|lorem|http') AS hit FROM documents")
+def keyword_filter(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", audit.is_stock(F.col("text"), "License|TODO|lorem|http").alias("hit"))
+
+
+LEVELS = """levels AS (SELECT recording_id, (-(a // 1000 % 50))::DOUBLE AS db FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY a) AS nth FROM isl) WHERE nth <= 200 AND b - a > 3000),
+level AS (SELECT recording_id, list_sort(list(db))[1 + len(list(db)) // 2] AS speech_db FROM levels GROUP BY 1)"""
+
+
+def _levels(e: DataFrame) -> DataFrame:
+    return audit.level_windows(intervals.islands(e)).select("recording_id", "a", "b", (-F.expr("a div 1000 % 50")).cast("double").alias("db"))
+
+
+@query(f"{EV_ISLANDS}, {LEVELS} SELECT recording_id, speech_db FROM level")
+def speech_level_upper_median(spark, sf_dir):
+    return audit.speech_level(_levels(event_segments(spark, sf_dir)))
+
+
+@query(f"{EV_ISLANDS}, {GAPS}, {LEVELS} SELECT recording_id, from_ms AS a, to_ms AS b, 'VAD响空洞' AS label FROM gaps JOIN level USING (recording_id) WHERE -(from_ms // 1000 % 60) > speech_db - 8")
+def loud_gaps(spark, sf_dir):
+    e, r = _ev(spark, sf_dir)
+    g = intervals.gaps(intervals.islands(e), r, HOUR).select("recording_id", F.col("from_ms").alias("a"), F.col("to_ms").alias("b"))
+    return audit.loud_gaps(g.withColumn("db", (-F.expr("a div 1000 % 60")).cast("double")), audit.speech_level(_levels(e)))
+
+
+QUIET = f"""hours AS (SELECT r.recording_id, unnest(range(0, duration // 1000 * 1000, {HOUR})) AS t FROM ev_rec r),
+flags AS (SELECT recording_id, t, NOT EXISTS (SELECT 1 FROM ev_seg e WHERE e.recording_id = h.recording_id AND e.start // {HOUR} * {HOUR} = h.t) AS quiet FROM hours h)"""
+
+
+@query(f"""WITH {EV}, {QUIET}, runs AS (SELECT recording_id, min(t) AS a, max(t) + {HOUR} AS b FROM (SELECT *, t // {HOUR} - row_number() OVER (PARTITION BY recording_id ORDER BY t) AS run FROM flags WHERE quiet) GROUP BY recording_id, run)
+SELECT recording_id, a, b FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY b - a DESC, a) AS nth FROM runs WHERE b - a >= {2 * HOUR}) WHERE nth <= 3""")
+def break_runs_top3(spark, sf_dir):
+    e, r = _ev(spark, sf_dir)
+    busy = e.select("recording_id", (F.floor(F.col("start") / HOUR) * HOUR).alias("t")).distinct().withColumn("busy", F.lit(True))
+    flags = audit.windows(r, HOUR).join(busy, ["recording_id", "t"], "left").select("recording_id", "t", F.col("busy").isNull().alias("quiet"))
+    return audit.break_runs(flags, HOUR, 2 * HOUR)
+
+
+@query(f"""WITH {EV}, {QUIET}, lv AS (SELECT h.recording_id, h.t, -(sum(seg_ord) % 97)::DOUBLE AS db FROM hours h LEFT JOIN ev_seg e ON e.recording_id = h.recording_id AND e.start // {HOUR} * {HOUR} = h.t GROUP BY ALL),
+ref AS (SELECT recording_id, list_sort(list(db))[1 + len(list(db)) * 3 // 4] AS ref FROM lv WHERE db IS NOT NULL GROUP BY 1),
+said AS (SELECT recording_id, start // {HOUR} * {HOUR} AS t, sum(spoken) AS said FROM ev_seg WHERE text <> 'click' AND NOT avg_logprob < -1 GROUP BY ALL)
+SELECT lv.recording_id, lv.t, coalesce(db < ref - 6, FALSE) AND coalesce(said, 0) < 300 AS quiet FROM lv JOIN ref USING (recording_id) LEFT JOIN said ON said.recording_id = lv.recording_id AND said.t = lv.t""")
+def quiet_windows(spark, sf_dir):
+    e, r = _ev(spark, sf_dir)
+    sums = e.groupBy("recording_id", (F.floor(F.col("start") / HOUR) * HOUR).alias("t")).agg((-(F.sum("seg_ord") % 97)).cast("double").alias("db"))
+    levels = audit.windows(r, HOUR).join(sums, ["recording_id", "t"], "left")
+    return audit.quiet_windows(levels, e, HOUR, few=300, pattern="click")
+
+
+ENERGY = """energy AS (SELECT recording_id, frame_ord, 160::BIGINT AS n_samples, ((seg * 7919) % 1000003)::DOUBLE * 160 AS sum_sq
+  FROM (SELECT (o_custkey % 20)::VARCHAR AS recording_id, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) - 1 AS frame_ord, o_orderkey AS seg FROM orders)),
+ranges AS (SELECT recording_id, frame_ord * 10 + 3 AS a, frame_ord * 10 + 3 + (frame_ord % 40) * 10 AS b FROM energy WHERE frame_ord % 7 = 0)"""
+
+
+@query(f"""WITH {ENERGY} SELECT r.recording_id, r.a, r.b, CASE WHEN sum(n_samples) >= 800 THEN round(20 * log10(greatest(sqrt(sum(sum_sq) / sum(n_samples)), 1e-9) / 32768), 6) END AS db
+FROM ranges r LEFT JOIN energy e ON e.recording_id = r.recording_id AND e.frame_ord >= r.a // 10 AND e.frame_ord < r.b // 10 GROUP BY ALL""")
+def energy_db_range(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    place = F.row_number().over(Window.partitionBy(F.col("o_custkey") % 20).orderBy("o_orderkey")).cast("long") - 1
+    energy = o.select((F.col("o_custkey") % 20).cast("string").alias("recording_id"), place.alias("frame_ord"), F.lit(160).cast("long").alias("n_samples"), ((F.col("o_orderkey") * 7919 % 1000003).cast("double") * 160).alias("sum_sq"))
+    f = F.col("frame_ord")
+    ranges = energy.where(f % 7 == 0).select("recording_id", (f * 10 + 3).alias("a"), (f * 10 + 3 + f % 40 * 10).alias("b"))
+    return audit.range_db(ranges, energy).withColumn("db", F.round("db", 6))
+
+
+# ---- merging
+
+
+@query(f"""WITH {EV}, s AS (SELECT e.recording_id, start // 21600000 AS bucket, pass_id, sum(chars)::BIGINT AS chars FROM ev_seg e JOIN ev_rec r USING (recording_id)
+  WHERE start // 21600000 BETWEEN 0 AND duration // 21600000 + 1 GROUP BY ALL HAVING sum(chars) > 0)
+SELECT recording_id, bucket, pass_id, chars FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, bucket ORDER BY chars DESC, pass_id DESC) AS nth FROM s) WHERE nth = 1""")
+def bucket_winner(spark, sf_dir):
+    return merge.bucket_winners(*_ev(spark, sf_dir), 6 * HOUR)
+
+
+PATCH = f"""{SPANS}, patch AS (SELECT s.recording_id, span_ord, a, b, pass_id AS attempt_ord, e.start, e."end", chars, e.seg_ord, e.text FROM spans s JOIN ev_seg e ON s.recording_id = e.recording_id AND e.start BETWEEN s.a - 7200000 AND s.b + 7200000)"""
+
+
+def _patch(e: DataFrame) -> DataFrame:
+    s = _spans(e).withColumnRenamed("recording_id", "of")
+    met = s.join(e, (s["of"] == e["recording_id"]) & (F.col("start") >= F.col("a") - 7_200_000) & (F.col("start") <= F.col("b") + 7_200_000))
+    return met.select("recording_id", "span_ord", "a", "b", F.col("pass_id").alias("attempt_ord"), "start", "end", "chars", "seg_ord", "text")
+
+
+@query(f"""WITH {EV}, {PATCH} SELECT recording_id, span_ord, attempt_ord, chars FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, span_ord ORDER BY chars DESC, attempt_ord) AS nth
+  FROM (SELECT recording_id, span_ord, attempt_ord, sum(chars)::BIGINT AS chars FROM patch WHERE start BETWEEN a - 500 AND b + 500 GROUP BY ALL HAVING sum(chars) > 0)) WHERE nth = 1""")
+def best_attempt(spark, sf_dir):
+    return merge.best_attempts(_patch(event_segments(spark, sf_dir)))
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    """Turns of one pass and, shifted and with a shared beginning, of another."""
+    c = conversation_segments(spark, sf_dir)
+    other = c.select("recording_id", (F.col("seg_ord") + 1000).alias("seg_ord"), "speaker", F.concat(F.lead("text", 1, "").over(Window.partitionBy("recording_id").orderBy("seg_ord")), F.lit(" "), F.col("text")).alias("text"), "chars", "spoken", (F.col("start") + 200).alias("start"), (F.col("end") + 900).alias("end"))
+    return c.unionByName(other)
+
+
+@query()
+def strip_common_dedup(spark, sf_dir):
+    return merge.merged(_turns(spark, sf_dir).withColumn("src", F.when(F.col("seg_ord") < 1000, "pass1").otherwise("pass2")))
+
+
+@query()
+def patch_application(spark, sf_dir):
+    c = conversation_segments(spark, sf_dir)
+    patch = c.where("seg_ord % 2 = 0").select("recording_id", F.col("seg_ord").alias("span_ord"), F.col("start").alias("a"), F.col("end").alias("b"), F.lit(0).alias("row_ord"), "start", "end", F.concat("text", F.lit(" | "), F.reverse("text")).alias("text"))
+    return merge.merged(c.withColumn("src", F.lit("pass1")), patch)
+
+
+FIX_SQL = "fixes(ord, wrong, \"right\") AS (VALUES (0, 'the ', 'teh '), (1, 'and', 'und'), (2, 'er', 're'), (3, 'zzzz', 'yyyy'))"
+
+
+@query(f"""WITH {FIX_SQL} SELECT ord, wrong, coalesce(sum((length(text) - length(replace(text, wrong, ''))) // length(wrong)), 0)::BIGINT AS hits
+FROM fixes LEFT JOIN conversations ON contains(text, wrong) GROUP BY ALL""")
+def glossary_hits(spark, sf_dir):
+    fixes = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(FIXES)], "ord int, wrong string, right string")
+    return merge.glossary_hits(table(spark, sf_dir, "conversations"), fixes)
+
+
+@query("SELECT conv_id, turn, replace(replace(replace(replace(text, 'the ', 'teh '), 'and', 'und'), 'er', 're'), 'zzzz', 'yyyy') AS text FROM conversations")
+def glossary_replace(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", merge.replaced(F.col("text"), FIXES).alias("text"))
+
+
+EDIT_SQL = f"""{CONV}, e AS (SELECT recording_id, seg_ord AS row_ord, start, text, i AS pos, CASE WHEN i % 2 = 0 THEN 'hte' ELSE 'adn' END AS "from", CASE WHEN i % 2 = 0 THEN 'the' ELSE 'and' END AS "to" FROM conv_seg, LATERAL (SELECT unnest(range(8)) AS i)),
+valid AS (SELECT recording_id, row_ord, "from", "to", start AS t FROM (SELECT *, row_number() OVER (PARTITION BY recording_id, row_ord, "to" ORDER BY pos) AS nth FROM e) WHERE nth <= (length(text) - length(replace(text, "to", ''))) // length("to"))"""
+
+
+def _edited(spark, sf_dir) -> DataFrame:
+    pick = lambda i, a, b: F.when(i % 2 == 0, a).otherwise(b)
+    edits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(i.alias("pos"), pick(i, "hte", "adn").alias("from"), pick(i, "the", "and").alias("to")))
+    return conversation_segments(spark, sf_dir).select("recording_id", F.col("seg_ord").alias("row_ord"), "start", "text", edits.alias("edits"))
+
+
+@query(f'WITH {EDIT_SQL} SELECT recording_id, row_ord, "from", "to", t FROM valid')
+def edit_ledger_valid(spark, sf_dir):
+    return merge.valid_edits(_edited(spark, sf_dir))
+
+
+@query(f'WITH {EDIT_SQL} SELECT "from", "to", count(*) AS n FROM valid GROUP BY ALL ORDER BY n DESC, min(t), "from", "to" LIMIT 3')
+def top_edits(spark, sf_dir):
+    return merge.top_edits(merge.valid_edits(_edited(spark, sf_dir)))
+
+
+@query(f"WITH {CONV} SELECT recording_id, string_agg(text, '' ORDER BY seg_ord) AS body FROM conv_seg GROUP BY 1")
+def raw_text(spark, sf_dir):
+    return writers.joined(conversation_segments(spark, sf_dir), "seg_ord", F.col("text"))
+
+
+# ---- speakers
+
+
+WHO = f"{CONV}, who AS (SELECT recording_id, seg_ord, start, CASE WHEN seg_ord % 4 = 2 THEN NULL ELSE speaker END AS speaker FROM conv_seg)"
+
+
+def _who(spark, sf_dir) -> DataFrame:
+    return conversation_segments(spark, sf_dir).select("recording_id", "seg_ord", "start", F.when(F.col("seg_ord") % 4 != 2, F.col("speaker")).alias("speaker"))
+
+
+@query(f"""WITH {WHO} SELECT recording_id, seg_ord, speaker, CASE WHEN several >= 2 AND speaker IS NOT NULL AND (nth = 1 OR speaker IS DISTINCT FROM prev) THEN speaker ELSE '' END AS label
+FROM (SELECT *, (SELECT count(DISTINCT speaker) FROM who w WHERE w.recording_id = who.recording_id) AS several, lag(speaker) OVER o AS prev, row_number() OVER o AS nth FROM who WINDOW o AS (PARTITION BY recording_id ORDER BY seg_ord))""")
+def speaker_change_labels(spark, sf_dir):
+    return speakers.labelled(_who(spark, sf_dir)).select("recording_id", "seg_ord", "speaker", "label")
+
+
+@query(f"""WITH {WHO} SELECT recording_id, seg_ord, coalesce(last_value(speaker IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY start, seg_ord ROWS UNBOUNDED PRECEDING),
+  first_value(speaker IGNORE NULLS) OVER (PARTITION BY recording_id ORDER BY start, seg_ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS speaker FROM who""")
+def speaker_fill(spark, sf_dir):
+    return speakers.filled(_who(spark, sf_dir)).select("recording_id", "seg_ord", "speaker")
+
+
+@query(f"""WITH {EV}, c AS (SELECT recording_id, seg_ord, start, chars % 5 AS cluster FROM ev_seg),
+f AS (SELECT recording_id, cluster, row_number() OVER (PARTITION BY recording_id ORDER BY min(start), arg_min(seg_ord, (start, seg_ord))) AS nth FROM c GROUP BY recording_id, cluster)
+SELECT recording_id, seg_ord, cluster, 'S' || nth AS speaker FROM c JOIN f USING (recording_id, cluster)""")
+def speaker_naming(spark, sf_dir):
+    rows = event_segments(spark, sf_dir).select("recording_id", "seg_ord", "start", (F.col("chars") % 5).alias("cluster"))
+    return speakers.named(rows).select("recording_id", "seg_ord", "cluster", "speaker")
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.concat(F.col("label").cast("string"), F.lit("-"), F.pmod(F.col("vec_id"), F.lit(20)).cast("string")).alias("recording_id"), F.col("vec_id").cast("int").alias("seg_ord"), "embedding")
+
+
+@query("""WITH v AS (SELECT label::VARCHAR || '-' || (vec_id % 20)::VARCHAR AS recording_id, vec_id::INT AS id, embedding FROM embeddings)
+SELECT a.recording_id, a.id AS i, b.id AS j, round(1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS distance
+FROM v a JOIN v b ON a.recording_id = b.recording_id AND a.id < b.id""")
+def cosine_pairs(spark, sf_dir):
+    return speakers.cosine_pairs(_vectors(spark, sf_dir))
+
+
+@query()
+def avg_linkage_clusters(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("recording_id"), F.col("vec_id").cast("int").alias("seg_ord"), (F.col("vec_id") * 1000).alias("start"), (F.col("vec_id") * 1000 + F.col("vec_id") % 9 * 200).alias("end"), "embedding")
+    return speakers.assigned(rows, threshold=0.8).select("recording_id", "seg_ord", "speaker")
+
+
+# ---- segments and cues
+
+
+@query(f"""WITH RECURSIVE {EV}, o AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start, "end", seg_ord) AS nth FROM ev_seg),
+t AS (SELECT *, nth * 300 + max(greatest("end", greatest(start, 0) + 300) - nth * 300) OVER (PARTITION BY recording_id ORDER BY nth ROWS UNBOUNDED PRECEDING) AS t FROM o)
+SELECT recording_id, seg_ord, (nth - 1)::INT AS cue_ord, greatest(start, coalesce(lag(t) OVER (PARTITION BY recording_id ORDER BY nth), 0)) AS start, t AS "end" FROM t""")
+def cue_no_overlap_clamp(spark, sf_dir):
+    return segment.clamped(event_segments(spark, sf_dir).select("recording_id", "seg_ord", "start", "end"))
+
+
+@query(f"""WITH {CONV} SELECT recording_id, seg::BIGINT AS seg, min(start) AS start, max("end") AS "end", string_agg(speaker, '' ORDER BY seg_ord) AS text, count(*)::INT AS n_words
+FROM (SELECT *, sum(opens) OVER (PARTITION BY recording_id ORDER BY seg_ord ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, CASE WHEN coalesce(start - lag("end") OVER (PARTITION BY recording_id ORDER BY seg_ord) >= 800, TRUE) THEN 1 ELSE 0 END AS opens FROM conv_seg)) GROUP BY recording_id, seg""")
+def pause_segmentation(spark, sf_dir):
+    c = conversation_segments(spark, sf_dir).select("recording_id", F.col("seg_ord").alias("word_ord"), "start", "end", F.col("speaker").alias("word"))
+    return segment.pause_segments(c).withColumn("seg", F.col("seg").cast("long"))
+
+
+def _words(spark, sf_dir) -> DataFrame:
+    """Turns with their words, timed by their places."""
+    c = conversation_segments(spark, sf_dir)
+
+    def cut(texts: pd.Series, starts: pd.Series) -> pd.Series:
+        out = []
+        for t, s in zip(texts, starts):
+            words, at = [], 0
+            for w in (t or "").split(" "):
+                if w:
+                    words.append({"start": int(s) + at * 80, "end": int(s) + (at + len(w)) * 80, "word": w})
+                at += len(w) + 1
+            out.append(words)
+        return pd.Series(out)
+
+    return c.withColumn("words", F.pandas_udf(cut, "array<struct<start:bigint,end:bigint,word:string>>")("text", "start"))
+
+
+@query(f"""WITH RECURSIVE {CONV}, o AS (SELECT recording_id, seg_ord, start, "end", row_number() OVER (PARTITION BY recording_id ORDER BY seg_ord) AS nth FROM conv_seg),
+f AS (SELECT recording_id, nth, start, "end", start AS first, 0 AS seg FROM o WHERE nth = 1
+  UNION ALL SELECT o.recording_id, o.nth, o.start, o."end", CASE WHEN o.start - f."end" >= 800 OR o.start - f.first >= 28000 THEN o.start ELSE f.first END, f.seg + CASE WHEN o.start - f."end" >= 800 OR o.start - f.first >= 28000 THEN 1 ELSE 0 END
+  FROM f JOIN o ON o.recording_id = f.recording_id AND o.nth = f.nth + 1)
+SELECT recording_id, 0 AS item_ord, seg, min(start) AS start, max("end") AS "end", count(*)::INT AS n_words FROM f GROUP BY recording_id, seg""")
+def pause_seg_with_cap(spark, sf_dir):
+    words = F.transform(F.sort_array(F.collect_list(F.struct("seg_ord", "start", "end", F.col("speaker").alias("word")))), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["word"].alias("word")))
+    rows = conversation_segments(spark, sf_dir).groupBy("recording_id").agg(words.alias("words")).withColumn("item_ord", F.lit(0))
+    return segment.capped_segments(rows).select("recording_id", "item_ord", "seg", "start", "end", F.size("words").alias("n_words"))
+
+
+@query()
+def character_adapter(spark, sf_dir):
+    chars = F.regexp_replace("text", "(.)", "$1 ")
+    times = F.transform(F.sequence(F.lit(0).cast("long"), F.length("text").cast("long") - 1), lambda i: F.array(F.col("start") + i * 80, F.col("start") + i * 80 + 80))
+    rows = conversation_segments(spark, sf_dir).where("chars > 0").select("recording_id", F.col("seg_ord").alias("item_ord"), chars.alias("text"), times.alias("timestamp"))
+    return segment.from_characters(rows).drop("words")
+
+
+@query()
+def item_adapter(spark, sf_dir):
+    rows = _words(spark, sf_dir).select(F.concat_ws("-", "recording_id", "seg_ord").alias("recording_id"), F.col("end").alias("duration"), "text", F.transform("words", lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.regexp_replace(w["word"], r"[.,]", "").alias("word"))).alias("words"))
+    return segment.from_items(rows).drop("words")
+
+
+@query()
+def cue_split_by_words(spark, sf_dir):
+    return segment.clamped(segment.cut_rows(_words(spark, sf_dir).select("recording_id", "seg_ord", "start", "end", "text", "words")))
+
+
+@query(f"""WITH {EV}, g AS (SELECT recording_id, start - lag("end") OVER (PARTITION BY recording_id ORDER BY start, seg_ord) AS gap FROM ev_seg), l AS (SELECT recording_id, list_sort(list(gap) FILTER (gap > 0)) AS g FROM g GROUP BY 1),
+n AS (SELECT *, coalesce(len(g), 0) AS n FROM l), c AS (SELECT *, greatest(250, g[1 + least(n - 1, n * 80 // 100)]) AS comma FROM n)
+SELECT recording_id, CASE WHEN n < 20 THEN 350 ELSE comma END::BIGINT AS comma, CASE WHEN n < 20 THEN 900 ELSE greatest(comma * 1.6::DOUBLE, 600, g[1 + least(n - 1, n * 95 // 100)]) END::DOUBLE AS period FROM c""")
+def word_gap_thresholds(spark, sf_dir):
+    e = event_segments(spark, sf_dir)
+    nth = F.row_number().over(Window.partitionBy("recording_id").orderBy("start", "seg_ord"))
+    return segment.pause_thresholds(e.select("recording_id", F.lit(0).alias("seg_ord"), nth.alias("word_ord"), "start", "end"))
+
+
+@query()
+def chunk_split_points(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    place = F.row_number().over(Window.partitionBy(F.col("o_custkey") % 20).orderBy("o_orderkey")).cast("long") - 1
+    energy = o.select((F.col("o_custkey") % 20).cast("string").alias("recording_id"), place.alias("frame_ord"), (F.col("o_totalprice") % 1000).alias("sum_sq"))
+    return segment.chunked(energy, most=10_000, reach=2000)
+
+
+@query()
+def paragraph_assembly(spark, sf_dir):
+    return paragraphs.paragraphs(_words(spark, sf_dir).select("recording_id", "seg_ord", "start", "end", "text", "words", "speaker"))
+
+
+@query()
+def clause_breaks(spark, sf_dir):
+    f = F.pandas_udf(lambda s: pd.Series([T.clause_breaks(t or "", ["the", "and", "of"]) for t in s]), "string")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", f("text").alias("text"))
+
+
+@query()
+def polish_chunks(spark, sf_dir):
+    f = F.pandas_udf(lambda s: pd.Series([T.chunks(t or "", 1200) for t in s]), "array<string>")
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(f("text")).alias("chunk", "text")).select("doc_id", "chunk", F.length("text").alias("n"))
+
+
+# ---- scoring
+
+
+@query(f"WITH {PAIRS} SELECT id, length(ref) AS n_ref, levenshtein(ref, hyp)::INT AS errors FROM pairs")
+def cer_total(spark, sf_dir):
+    return pairs(spark, sf_dir).select("id", F.length("ref").cast("long").alias("n_ref"), F.levenshtein("ref", "hyp").alias("errors"))
+
+
+@query()
+def cer_split(spark, sf_dir):
+    return pairs(spark, sf_dir).select("id", T.score_udf()("ref", "hyp").alias("s")).select("id", "s.*")
+
+
+@query(f"""WITH {PAIRS}, n AS (SELECT id, translate(regexp_replace(ref, '[,.!?;:"''()<>\\[\\]{{}}~\\s-]', '', 'g'), '0123456789', '零一二三四五六七八九') AS r, translate(regexp_replace(hyp, '[,.!?;:"''()<>\\[\\]{{}}~\\s-]', '', 'g'), '0123456789', '零一二三四五六七八九') AS h FROM pairs)
+SELECT count(*) AS n_items, sum(length(r))::BIGINT AS n_ref, sum(length(h))::BIGINT AS n_hyp, CASE WHEN sum(length(r)) > 0 THEN round(sum(levenshtein(r, h))::DOUBLE / sum(length(r)), 6) ELSE 0 END AS cer FROM n""")
+def micro_cer(spark, sf_dir):
+    s = pairs(spark, sf_dir).select(T.score_udf()("ref", "hyp").alias("s")).select("s.*")
+    return T.micro(s).select("n_items", "n_ref", "n_hyp", "cer")
+
+
+@query(r"SELECT doc_id, regexp_replace(text, '[（(]\s*[^（()）]*?[A-Za-zÀ-ÿĀ-ſ][^（()）]*?\s*[)）]', '', 'g') AS text FROM documents")
+def gloss_strip(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.without_gloss(F.col("text")).alias("text"))
+
+
+@query()
+def normalized_text(spark, sf_dir):
+    f = F.pandas_udf(lambda s: pd.Series([T.normalized(t or "") for t in s]), "string")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", f("text").alias("text"))
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def doc_hit(spark, sf_dir):
+    """Documents that hold a benchmark passage verbatim.
+
+    A passage of 47 characters or more holds a whole piece of the document cut every 24 characters,
+    so pieces meet all 24-character runs of passages in a hash join; what meets is verified.
+    """
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    piece = lambda text, step: F.transform(F.sequence(F.lit(1), F.length(text) - 23, F.lit(step)), lambda i: F.substring(text, i, F.lit(24)))
+    runs = b.where("length(passage) >= 47").select("item_id", F.explode(F.array_distinct(piece(F.col("passage"), 1))).alias("run"))
+    pieces = d.where("length(text) >= 47").select("doc_id", F.explode(F.array_distinct(piece(F.col("text"), 24))).alias("run"))
+    near = pieces.join(runs, "run").select("doc_id", "item_id").distinct()
+    met = near.join(b, "item_id").join(d, "doc_id").where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
+    short = b.where("length(passage) < 47")
+    return met.unionByName(d.join(short, F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")) if not short.isEmpty() else met
+
+
+@query()
+def phonetic_repair(spark, sf_dir):
+    """Glossary terms put in the place of what sounds like them, over the glossary's own sentences in many rows."""
+    lexicon = spark.sparkContext.broadcast(build(spark))
+    said = ["前面才税管理后面", "才税管理的要点", "旧帐和固定资产", "所得税的缴纳"]
+    f = F.pandas_udf(lambda s: pd.Series([T.repaired(t, ["财税管理", "所得税", "旧账"], lexicon.value)[0] for t in s]), "string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get(F.array(*map(F.lit, said)), (F.col("turn") % 4).cast("int")).alias("said"))
+    return rows.withColumn("text", f("said"))
+
+
+@query()
+def homophone_constraint(spark, sf_dir):
+    lexicon = spark.sparkContext.broadcast(build(spark))
+    shape = "text string, rejected int, reason string, edits array<struct<pos:int,from:string,to:string>>"
+    f = F.pandas_udf(lambda a, b: pd.DataFrame([T.constrained(x, y, lexicon.value) for x, y in zip(a, b)], columns=["text", "rejected", "reason", "edits"]), shape)
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit("旧帐和固定资产").alias("before"), F.when(F.col("turn") % 2 == 0, "旧账和固定资全").otherwise("旧账").alias("after"))
+    return rows.select("conv_id", "turn", f("before", "after").alias("c")).select("conv_id", "turn", "c.text", "c.rejected", "c.reason")
+
+
+# ---- text forms
+
+
+@query(f"""WITH {EV} SELECT recording_id, seg_ord, format('{{:02d}}:{{:02d}}:{{:02d}}', start // 3600000, start // 60000 % 60, start // 1000 % 60) AS hms,
+  format('{{:02d}}:{{:02d}}:{{:02d}},{{:03d}}', start // 3600000, start // 60000 % 60, start // 1000 % 60, start % 1000) AS srt, start // 1000 AS parsed, start AS parsed_ms FROM ev_seg""")
+def time_format_parse(spark, sf_dir):
+    e = event_segments(spark, sf_dir).select("recording_id", "seg_ord", timefmt.hms(F.col("start")).alias("hms"), timefmt.srt_time(F.col("start")).alias("srt"))
+    return e.withColumns({"parsed": timefmt.parse_hms(F.col("hms")).cast("long"), "parsed_ms": timefmt.parse_srt_time(F.col("srt"))})
+
+
+@query(f'WITH {CONV} SELECT recording_id, seg_ord AS cue_ord, start, "end", replace(trim(text), chr(10), \' \') AS text FROM conv_seg WHERE length(trim(text)) > 0')
+def srt_roundtrip(spark, sf_dir):
+    c = conversation_segments(spark, sf_dir).where("length(trim(text)) > 0").select("recording_id", F.col("seg_ord").alias("cue_ord"), "start", "end", F.regexp_replace("text", "\n", " ").alias("text"))
+    bodies = writers.srt(c).select("recording_id", readers.cues_of(F.col("body")).alias("c"))
+    return bodies.select("recording_id", F.posexplode("c").alias("cue_ord", "c")).select("recording_id", "cue_ord", "c.start", "c.end", "c.text")
+
+
+@query(f'''WITH {CONV} SELECT recording_id, lo, hi, string_agg(text, '' ORDER BY start, seg_ord) AS text FROM conv_seg JOIN (SELECT recording_id, min(start) AS lo, max("end") AS hi FROM conv_seg WHERE seg_ord BETWEEN 1 AND 2 GROUP BY 1) g USING (recording_id)
+WHERE "end" > lo AND start < hi GROUP BY ALL''')
+def goldset_window_text(spark, sf_dir):
+    """The hypothesis of a gold window: the cues that overlap it, however they are cut."""
+    c = conversation_segments(spark, sf_dir)
+    window = c.where("seg_ord BETWEEN 1 AND 2").groupBy("recording_id").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
+    met = c.join(window, "recording_id").where("end > lo AND start < hi")
+    lines = F.sort_array(F.collect_list(F.struct("start", "seg_ord", "text")))
+    return met.groupBy("recording_id", "lo", "hi").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "").alias("text"))
+
+
+@query(f"WITH {CONV} SELECT recording_id, string_agg(format('{{:02d}}:{{:02d}}:{{:02d}}', start // 3600000, start // 60000 % 60, start // 1000 % 60) || chr(9) || format('{{:02d}}:{{:02d}}:{{:02d}}', \"end\" // 3600000, \"end\" // 60000 % 60, \"end\" // 1000 % 60) || chr(9) || text, chr(10) ORDER BY seg_ord) AS body FROM conv_seg WHERE start >= 1000 AND start < 60000 GROUP BY 1")
+def gold_sheet(spark, sf_dir):
+    return writers.gold_sheet(conversation_segments(spark, sf_dir).withColumn("cue_ord", F.col("seg_ord")), 1000, 60_000)
+
+
+@query("SELECT conv_id, turn, 754000::BIGINT + turn * 1000 AS start, 760000::BIGINT AS \"end\", text FROM conversations WHERE length(trim(text)) > 0 AND NOT contains(text, chr(10)) AND NOT contains(text, chr(9)) AND text = trim(text)")
+def gold_read(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("length(trim(text)) > 0 AND NOT contains(text, '\n') AND NOT contains(text, '\t') AND text = trim(text)")
+    lines = c.select("conv_id", "turn", F.concat((F.col("turn") + 754).cast("string"), F.lit("\t12:40\t"), "text").alias("value"))
+    return readers.gold_of(lines)
+
+
+@query()
+def transcript_markdown(spark, sf_dir):
+    c = conversation_segments(spark, sf_dir)
+    return writers.transcript(paragraph_assembly(spark, sf_dir), recordings_of(c, 1000))[0]
+
+
+@query()
+def qa_report(spark, sf_dir):
+    e, r = _ev(spark, sf_dir)
+    return writers.report(final=intervals.coverage(e, r), gaps=intervals.gaps(intervals.islands(e), r, HOUR))
+
+
+# ---- extension: streams
+
+
+@query("SELECT event_type, epoch_us(date_trunc('hour', ts)) AS hour_us, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def streaming_hourly(spark, sf_dir):
+    return streams.hourly(spark, sf_dir)
