@@ -36,6 +36,7 @@ ORDER = 4
 BACK_OFF = np.log(0.4)
 LETTERS = re.compile(r"[^\W\d_]+")
 WORD = re.compile(r"\S+")
+MASKS = np.array([(1 << 16 * n) - 1 for n in range(ORDER + 1)], np.uint64)
 
 
 def script(ch: str) -> str:
@@ -81,35 +82,81 @@ class Model:
                 context = by.get(g[:-1], np.zeros(n_langs))
                 self.score[g] = np.where((v > 0) & (context > 0), np.log(np.maximum(v, 1e-9) / np.maximum(context, 1)), self.score.get(g[1:], self.none) + BACK_OFF)
 
+        # the grams as sorted keys of 16 bits a letter, and their rows, for many words at once
+        alphabet = sorted({c for g in self.score for c in g})[:65_000]
+        self.letter = {c: i for i, c in enumerate(alphabet, 1)}
+        known = [g for g in self.score if all(c in self.letter for c in g)]
+        keys = np.array([self.key(g) for g in known], np.uint64)
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.rows = np.array([self.score[known[i]] for i in order]).reshape(len(known), n_langs)
+        points = np.array([ord(c) for c in alphabet], np.int64)
+        self.index = np.zeros(int(points.max(initial=0)) + 2, np.uint64)
+        self.index[points] = np.arange(1, len(alphabet) + 1)
+        names = sorted(self.scripts)
+        self.may = np.array([*(self.scripts[n] for n in names), np.ones(n_langs, bool)])
+        self.script_row = {n: i for i, n in enumerate(names)}
+
+    def key(self, gram: str) -> int:
+        out = 0
+        for c in gram:
+            out = out << 16 | self.letter[c]
+        return out
+
     def labeller(self, penalty: float, floor: float) -> "Labeller":
         """One for all tasks of a Python worker, so its words stay known."""
         if (penalty, floor) not in self.made:
             self.made[penalty, floor] = Labeller(self, penalty, floor)
         return self.made[penalty, floor]
 
-    def of(self, word: str) -> np.ndarray:
-        """Log-likelihood of a letter run in each language."""
-        w, out = f" {word.lower()} ", 0.0
-        score = self.score
-        for i in range(1, len(w)):
-            for lo in range(max(0, i - ORDER + 1), i + 1):
-                if (s := score.get(w[lo : i + 1])) is not None:
-                    out = out + s + BACK_OFF * (lo - max(0, i - ORDER + 1))
-                    break
-            else:
-                out = out + self.none
-        return out
-
-    def word(self, token: str, floor: float) -> tuple[np.ndarray, int]:
-        """A token's scores (0 for the best, not below ``floor``) and its letters."""
-        out, letters = np.zeros(len(self.langs)), 0
-        for run in LETTERS.findall(token):
-            letters += len(run)
-            s = self.of(run)
-            if (may := self.scripts.get(script(run[0]))) is not None:
-                s = np.where(may, s, s.max() + floor)
-            out += s
-        return np.maximum(out - out.max(), floor), letters
+    def of(self, runs: list[str]) -> np.ndarray:
+        """Log-likelihoods of letter runs (a row each) in each language."""
+        text = " " + " ".join(runs).lower()
+        if text.count(" ") != len(runs):
+            raise ValueError("a run of letters holds a blank")
+        points = np.frombuffer((text + " ").encode("utf-32-le"), "<u4").astype(np.int64)
+        blank = points == 32
+        sign = self.index[np.minimum(points, len(self.index) - 1)]
+        begin = np.maximum.accumulate(np.where(blank, np.arange(len(points)), 0))
+        begin[1:] = np.where(blank[1:], begin[:-1], begin[1:])  # the blank after a word ends it
+        at = np.arange(1, len(points))
+        size = np.minimum(at - begin[1:] + 1, ORDER)
+        key = np.zeros(len(at), np.uint64)
+        for k in range(ORDER - 1, -1, -1):
+            key = key << np.uint64(16) | np.where(size > k, sign[np.maximum(at - k, 0)], np.uint64(0))
+        out = np.zeros((len(at), len(self.langs)))
+        left = np.arange(len(at))
+        for back in range(ORDER):
+            n = size[left] - back
+            out[left[n < 1]] = self.none + back * BACK_OFF
+            left, n = left[n >= 1], n[n >= 1]
+            if not len(left):
+                break
+            own = key[left] & MASKS[n]
+            place = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            hit = self.keys[place] == own
+            out[left[hit]] = self.rows[place[hit]] + back * BACK_OFF
+            left = left[~hit]
+        out[left] = self.none + ORDER * BACK_OFF
+        first = np.flatnonzero(blank[:-1])
+        return np.add.reduceat(out, first, axis=0)
+
+    def words(self, tokens: list[str], floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's scores (0 for the best language, none below ``floor``) and its letters."""
+        found = [LETTERS.findall(t) for t in tokens]
+        scores, letters = np.zeros((len(tokens), len(self.langs))), np.array([sum(map(len, f)) for f in found], np.int64)
+        number: dict[str, int] = {}
+        for f in found:
+            for r in f:
+                number.setdefault(r, len(number))
+        if number and self.langs:
+            runs = list(number)
+            s = self.of(runs)
+            rows = [self.script_row.get(script(r[0]), -1) for r in runs]
+            s = np.where(self.may[rows], s, s.max(axis=1, keepdims=True) + floor)
+            np.add.at(scores, np.repeat(np.arange(len(tokens)), [len(f) for f in found]), s[[number[r] for f in found for r in f]])
+            scores = np.maximum(scores - scores.max(axis=1, keepdims=True), floor)
+        return scores, letters
 
 
 def grams(texts_by_lang) -> Counter:
@@ -131,11 +178,12 @@ def grams(texts_by_lang) -> Counter:
 def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
     """The best label of each row of ``s`` if each change of label costs ``penalty``."""
     n, k = s.shape
-    total = s.sum(axis=0)
-    best = int(total.argmax())
+    best = int(s.sum(axis=0).argmax())
     if k == 1:
         return np.zeros(n, np.int64)
-    gain = np.cumsum(np.delete(s - s[:, [best]], best, axis=1).max(axis=1))
+    other = s.copy()
+    other[:, best] = -np.inf
+    gain = np.cumsum(other.max(axis=1) - s[:, best])
     low = np.minimum.accumulate(np.concatenate([[0.0], gain[:-1]]))
     if (gain - low).max() <= penalty:  # no run of words, even each in its best other language, pays for a switch
         return np.full(n, best)
@@ -154,30 +202,38 @@ def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
 
 
 class Labeller:
-    def __init__(self, model: Model, penalty: float, floor: float, capacity: int = 600_000):
+    """Labels texts; keeps the scores of up to ``capacity`` words it has met, which changes speed only."""
+
+    def __init__(self, model: Model, penalty: float, floor: float, capacity: int = 1_000_000):
         self.model, self.penalty, self.floor, self.capacity = model, penalty, floor, capacity
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.scores, self.letters, self.n = np.zeros((1024, len(self.model.langs)), np.float32), np.zeros(1024, np.int64), 0
+        self.scores, self.letters = np.zeros((1024, len(self.model.langs)), np.float32), np.zeros(1024, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        n = len(self.known)
+        while n + len(words) > len(self.scores):
+            self.scores, self.letters = np.concatenate([self.scores, np.zeros_like(self.scores)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
+        self.scores[n : n + len(words)], self.letters[n : n + len(words)] = self.model.words(words, self.floor)
+        self.known.update(zip(words, range(n, n + len(words))))
 
-    def learn(self, words) -> None:
-        for w in words:
-            if self.n == len(self.scores):
-                self.scores, self.letters = np.concatenate([self.scores, np.zeros_like(self.scores)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
-            self.scores[self.n], self.letters[self.n] = self.model.word(w, self.floor)
-            self.known[w] = self.n
-            self.n += 1
+    @staticmethod
+    def plain(text: str) -> str:
+        """The text in lower case, commas and stops as blanks, if that keeps all places."""
+        low = text.lower()
+        return (low if len(low) == len(text) else text).replace(",", " ").replace(".", " ")
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """Of each text: language, score, spans (start, end, language) in code points."""
-        if self.n > self.capacity:
+        if len(self.known) > self.capacity:
             self.clear()
-        split = [(t or "").split() for t in texts]
-        self.learn(set().union(*split).difference(self.known))
+        plain = [self.plain(t) if t else "" for t in texts]
+        split = [t.split() for t in plain]
+        self.learn(list(set().union(*split).difference(self.known)))
         get, langs, out = self.known.__getitem__, self.model.langs, []
-        for text, words in zip(texts, split):
+        for text, words in zip(plain, split):
             at = np.fromiter(map(get, words), np.int64, len(words))
             letters = self.letters[at]
             if not langs or not letters.any():
