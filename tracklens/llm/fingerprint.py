@@ -155,7 +155,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = some.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    walked = staged(ordered.mapInArrow(walk, RESULT + ", part int, edge int, text string"), "fingerprints")
+    walked = staged(ordered.mapInArrow(walk, RESULT + ", part int, edge int, text string"), "z_fingerprints")
     lasts = walked.where("edge = 2")
     # a row for each task: the one before it that has documents, for the first the last
     turn = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
