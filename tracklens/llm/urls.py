@@ -12,8 +12,8 @@ threshold or above.
 Counts cover all URLs; there are at most 40**4 of a kind whatever the input, which bounds what the
 driver gets and sends out.  Null URLs, and URLs without ``://``, have empty host and path and no
 rule; their verdict comes from the models over what follows the scheme (all, if there is none).
-Without URLs of both kinds to learn from, all others are allowed.  Ties of error take the lower
-threshold.  Rows that repeat are each judged; an empty table gives no rows; other columns stay out.
+Without URLs of both kinds to learn from, all others are allowed.  The threshold lies midway
+between the scores that it parts; ties of error take the lower.  Rows that repeat are each judged; an empty table gives no rows; other columns stay out.
 """
 
 from __future__ import annotations
@@ -117,7 +117,9 @@ def fit(judged: DataFrame, least: int = 3) -> tuple[np.ndarray, float] | None:
     n = {k: sum(r["count"] for r in seen if r["kind"] == k) for k in (0, 1)}
     places = sorted({r["at"] for r in seen} | {max(r["at"] for r in seen) + 1})
     error = lambda t: sum(r["count"] for r in seen if r["kind"] == 1 and r["at"] < t) / n[1] + sum(r["count"] for r in seen if r["kind"] == 0 and r["at"] >= t) / n[0]
-    return ratio, min(places, key=lambda t: (error(t), t)) * step
+    best = min(range(len(places)), key=lambda i: (error(places[i]), i))
+    below = places[best - 1] + 1 if best else places[best]
+    return ratio, (below + places[best]) / 2 * step  # the middle between the scores that it parts
 
 
 def scored(rows: DataFrame, ratio: np.ndarray) -> DataFrame:
