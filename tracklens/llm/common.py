@@ -44,5 +44,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+_kept: dict = {}
+
+
+def kept(key: tuple, make):
+    """What a Python worker keeps between tasks, such as a cache of words: one thing at a time, which bounds its memory."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

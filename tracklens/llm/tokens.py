@@ -1,4 +1,4 @@
-"""Whole-text tokenisation with a word cache in front of a public BPE vocabulary.
+"""Whole-text tokenisation with a piece cache in front of a public BPE vocabulary.
 
 Most words of a corpus repeat.  A text is cut where the vocabulary's own pre-tokeniser is certain
 to cut, each new piece is encoded once by the ``tokenizers`` library, and the ids of known pieces
@@ -7,27 +7,34 @@ come from a dictionary.  The ids equal those of encoding the whole text (tested)
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from array import array
 
 import numpy as np
 
+from .common import kept
+
 #: A white-space character before a space: then a space need not begin a token.
 _CROWDED = re.compile(r"\s ")
 #: A space after a character that is no white space (Python's set holds all that the library knows).
 _CUT = re.compile(r"(?<=[^\s]) ")
+#: A comma or stop after anything but a Latin letter, a digit or plain white space: it may be part of a run of signs.
+_RUN = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ɏ \n][.,]")
+#: The same, where white space counts.
+_APART = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ɏ][.,]")
+#: Letters whose lower case or normal form might depend on more than themselves.
+_BEYOND = re.compile(r"[^\x00-įı-ɏ]")
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
-    ``drops_space``: the vocabulary ignores white space (else words carry the space before them).
-    ``capacity``: pieces kept in each of two generations of the cache; it changes speed only.
+    ``drops_space``: the vocabulary ignores white space and case (else words carry the space before
+    them).  ``capacity``: pieces kept in each of two generations of the cache; it changes speed only.
     """
 
-    def __init__(self, path: str, drops_space: bool, capacity: int = 800_000):
+    def __init__(self, path: str, drops_space: bool, capacity: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -36,55 +43,46 @@ class Encoder:
         self.drops_space, self.capacity = drops_space, capacity
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
         # by id: whether the token ends a word (where white space is dropped) or begins one after a space
-        mark = (lambda w: w.endswith("</w>")) if drops_space else (lambda w: w.startswith("\u0120"))
+        mark = (lambda w: w.endswith("</w>")) if drops_space else (lambda w: w.startswith("Ġ"))
         vocab = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, bool)
         self.edge[[i for w, i in vocab.items() if mark(w)]] = True
 
-    def _pieces(self, text: str) -> tuple[str, list[str]]:
-        """What begins the text, and the pieces that follow a space."""
+    def pieces(self, text: str) -> list[str]:
+        """A cut of the text at places where a pre-token is sure to begin."""
         if self.drops_space:
-            return "", text.replace("\n", " ").split(" ")
-        first, *rest = _CUT.split(text) if _CROWDED.search(text) else text.split(" ")
-        return first, rest
+            if text.isascii() or not _BEYOND.search(text):
+                text = text.lower()
+            if not _RUN.search(text):
+                text = text.replace(",", " ,").replace(".", " .")
+            return text.replace("\n", " ").split(" ")
+        if "\0" in text:
+            first, *rest = _CUT.split(text)
+            return [first, *(" " + w for w in rest)]
+        text = _CUT.sub("\0 ", text) if _CROWDED.search(text) else text.replace(" ", "\0 ")
+        if not _APART.search(text):
+            text = text.replace(",", "\0,").replace(".", "\0.")
+        return text.split("\0")
 
     def _learn(self, pieces: set[str]) -> None:
-        """Encode pieces not seen yet; commas and stops after a letter are pieces of their own."""
-        known, split, need = self.known, [], set()
+        """Encode pieces not seen yet."""
         if old := self.old:
             again = pieces & old.keys()
-            known.update(zip(again, map(old.__getitem__, again)))
+            self.known.update(zip(again, map(old.__getitem__, again)))
             pieces = pieces - again
-        for w in pieces:
-            stem = w.rstrip(",.")
-            if len(stem) < len(w):
-                if not (stem and stem[-1].isascii() and stem[-1].isalpha()):
-                    need.add(w)
-                    continue
-                tail = w[len(stem) :]
-                if tail not in self.tails:
-                    self.tails[tail] = _bytes(self.tokenizer.encode(tail, add_special_tokens=False).ids)
-            else:
-                tail = ""
-            plain = stem.lower() if self.drops_space and stem.isascii() else stem
-            if plain not in known:
-                need.add(plain)
-            if tail or plain is not stem:
-                split.append((w, plain, tail))
-        words = [w for w in need if w.isascii() and w.isalpha()]
-        need.difference_update(words)
+        if self.drops_space:
+            words = [w for w in pieces if w.isalpha() and w.isascii()]
+        else:
+            words = [w for w in pieces if w[:1] == " " and w[1:].isalpha() and w.isascii()]
+        self._encode_each(list(pieces.difference(words)))
         self._encode_words(words)
-        self._encode_each(list(need))
-        for w, plain, tail in split:
-            known[w] = known[plain] + (self.tails[tail] if tail else b"")
 
     def _encode_words(self, words: list[str], at_once: int = 400) -> None:
         """Encode words of ASCII letters many at a time; each is one pre-token, so its edge shows in the ids."""
         lots = [words[lo : lo + at_once] for lo in range(0, len(words), at_once)]
-        lead = "" if self.drops_space else " "
-        for lot, e in zip(lots, self.tokenizer.encode_batch_fast([lead + " ".join(x) for x in lots], add_special_tokens=False)):
+        glue = " " if self.drops_space else ""
+        for lot, e in zip(lots, self.tokenizer.encode_batch_fast([glue.join(x) for x in lots], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             at = np.flatnonzero(self.edge[ids])
             if len(at) != len(lot):
@@ -94,35 +92,27 @@ class Encoder:
             raw = ids.tobytes()
             self.known.update(zip(lot, [raw[4 * a : 4 * b] for a, b in zip(at, at[1:])]))
 
-    def _encode_each(self, pieces: list[str]) -> None:
-        lead = "" if self.drops_space else " "
-        for lo in range(0, len(pieces), 20_000):
-            part = pieces[lo : lo + 20_000]
-            got = self.tokenizer.encode_batch_fast([lead + w for w in part], add_special_tokens=False)
-            self.known.update(zip(part, (_bytes(e.ids) for e in got)))
+    def _encode_each(self, pieces: list[str], at_once: int = 20_000) -> None:
+        for lo in range(0, len(pieces), at_once):
+            part = pieces[lo : lo + at_once]
+            got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update(zip(part, (array("I", e.ids).tobytes() for e in got)))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text; a null text is empty."""
         if len(self.known) > self.capacity:
             self.old, self.known = self.known, {}
         known = self.known
-        cut = [self._pieces(t or "") for t in texts]
-        if new := set().union(*(p for _, p in cut)).difference(known):
+        cut = [self.pieces(t) if t else [] for t in texts]
+        if new := set().union(*cut).difference(known):
             self._learn(new)
-        first = [f for f, _ in cut]
-        heads = [_bytes(e.ids) for e in self.tokenizer.encode_batch_fast(first, add_special_tokens=False)] if any(first) else [b""] * len(cut)
         get = known.__getitem__
-        return [h + b"".join(map(get, p)) for h, (_, p) in zip(heads, cut)]
+        return [b"".join(map(get, p)) for p in cut]
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str, drops_space: bool) -> Encoder:
     """One encoder for all tasks of a Python worker, so its cache stays warm."""
-    return Encoder(path, drops_space)
-
-
-def _bytes(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
+    return kept(("encoder", path, drops_space), lambda: Encoder(path, drops_space))
 
 
 def vocabulary(name: str) -> str:
