@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import partitions, small_batches, staged
-from .tokens import Encoder, vocabulary
+from .tokens import encoder, vocabulary
 
 BLOCK = 128
 SHARD_SCHEMA = "part int, seg int, local_start bigint, n_ids bigint, n_docs int, payload binary"
@@ -139,13 +139,13 @@ def unpack_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.nda
     return [None if z else d for d, z in zip(doc_ids.tolist(), null.tolist())], lengths, ids
 
 
-def write_shards(docs: DataFrame, vocab: str, end_id: int, segment_ids: int = 1 << 16, percentile: float = 90.0) -> DataFrame:
+def write_shards(docs: DataFrame, vocab: str, end_id: int, segment_ids: int = 1 << 18, percentile: float = 90.0) -> DataFrame:
     """Tokenise ``docs`` (doc_id, text) in doc_id order and write the shard table; returns it as read back."""
     spark = docs.sparkSession
     small_batches(spark)
 
     def encode(batches):
-        encoder, end = Encoder(vocab, True), np.array([end_id], "<u4").tobytes()
+        coder, end = encoder(vocab, True), np.array([end_id], "<u4").tobytes()
         part, seg, before = TaskContext.get().partitionId(), 0, 0
         names: list[int | None] = []
         held: list[bytes] = []
@@ -161,7 +161,7 @@ def write_shards(docs: DataFrame, vocab: str, end_id: int, segment_ids: int = 1
 
         for b in batches:
             rows = []
-            for d, ids in zip(b.column(0).to_pylist(), encoder.encode_batch(b.column(1).to_pylist())):
+            for d, ids in zip(b.column(0).to_pylist(), coder.encode_batch(b.column(1).to_pylist())):
                 names.append(d)
                 held.append(ids + end)
                 size += len(ids) // 4 + 1
