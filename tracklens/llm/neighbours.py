@@ -173,56 +173,97 @@ STATE = "block bigint, node bigint, ids array<bigint>, sims array<float>, done a
 
 
 def expanded(state: DataFrame, near: DataFrame, nodes: DataFrame, kind: type, keep: int) -> DataFrame:
-    """One round for ``state`` (block, node, ids, sims, done, front): the lists of the front's nodes join the node's own."""
+    """One round for ``state`` (block, node, ids, sims, done, front): the lists of the front's nodes join the node's own.
+
+    A task first gets a block's lists and states and works out which pairs it has to compare; the
+    vectors then come in the order of their ids and are compared as they pass, so a task holds
+    pairs of numbers and its own nodes' vectors, never the others'.
+    """
     spark = state.sparkSession
+    raws = nodes.select(F.col("node").alias("w"), "raw")
     wanted = state.select("block", F.explode("front").alias("u")).distinct()
     lists = wanted.join(near, wanted["u"] == near["node"]).select("block", "u", "near")
-    ids = lists.select("block", F.explode("near").alias("w")).unionByName(state.select("block", F.col("node").alias("w"))).distinct()
-    vectors = ids.join(nodes.select(F.col("node").alias("w"), "raw"), "w")
-    none = lambda t: F.lit(None).cast(t)
-    rows = vectors.select("block", F.lit(0).alias("part"), F.col("w").alias("id"), "raw", none("array<bigint>").alias("near"), none("array<float>").alias("sims"), none("array<bigint>").alias("done"), none("array<bigint>").alias("front"))
-    rows = rows.unionByName(lists.select("block", F.lit(1).alias("part"), F.col("u").alias("id"), none("binary").alias("raw"), "near", none("array<float>").alias("sims"), none("array<bigint>").alias("done"), none("array<bigint>").alias("front")))
-    rows = rows.unionByName(state.select("block", F.lit(2).alias("part"), F.col("node").alias("id"), none("binary").alias("raw"), F.col("ids").alias("near"), "sims", "done", "front"))
+    ids = lists.select("block", F.explode("near").alias("w")).distinct()
+    vectors = ids.join(raws, "w")
+    own = state.join(raws, state["node"] == raws["w"])
+    empty = {"id": "bigint", "raw": "binary", "ids": "array<bigint>", "sims": "array<float>", "done": "array<bigint>", "front": "array<bigint>"}
+    shaped = lambda df, part, **cols: df.select("block", F.lit(part).alias("part"), *(cols[c].alias(c) if c in cols else F.lit(None).cast(t).alias(c) for c, t in empty.items()))
+    rows = shaped(lists, 0, id=F.col("u"), ids=F.col("near")).unionByName(shaped(own, 1, id=F.col("node"), raw=F.col("raw"), ids=F.col("ids"), sims=F.col("sims"), done=F.col("done"), front=F.col("front")))
+    rows = rows.unionByName(shaped(vectors, 2, id=F.col("w"), raw=F.col("raw")))
     rows = rows.repartition(partitions(spark), "block").sortWithinPartitions("block", "part", "id")
 
     def join(batches):
         def out():
-            block, part = None, 0
-            have: list[int] = []
-            raws: list[bytes] = []
-            names = x = None
-            links: dict[int, np.ndarray] = {}
+            block = None
             for b in batches:
-                cols = [b.column(i) for i in range(8)]
-                for blk, p, i, raw, ids, sims, done, front in zip(*(c.to_pylist() if n not in (4, 5, 6, 7) else c for n, c in enumerate(cols))):
-                    if blk != block:
-                        block, have, raws, names, links = blk, [], [], None, {}
-                    if p == 0:
-                        have.append(i)
-                        raws.append(raw)
-                        continue
-                    if names is None:
-                        names = np.array(have)
-                        x = np.frombuffer(b"".join(raws), kind).reshape(len(raws), -1).astype(np.float32)
-                        raws = []
-                    if p == 1:
-                        links[i] = ids.values.to_numpy()
-                        continue
-                    own_ids, own_sims = ids.values.to_numpy(), sims.values.to_numpy()
-                    front = front.values.to_numpy()
-                    new = [links[u] for u in front.tolist() if u in links]
-                    if new:
-                        w = np.setdiff1d(np.concatenate(new), np.append(own_ids, i))
-                        at = np.searchsorted(names, w)
-                        s = x[at] @ x[np.searchsorted(names, i)]
-                        own_ids, own_sims = merged([own_ids, w], [own_sims, s], keep)
-                    yield blk, i, own_ids, own_sims, np.concatenate([done.values.to_numpy(), front])
+                blocks, parts = b.column(0).to_numpy(), b.column(1).to_numpy()
+                lo = 0
+                while lo < b.num_rows:  # runs of one block and part
+                    hi = lo + int(np.argmax(np.append((blocks[lo:] != blocks[lo]) | (parts[lo:] != parts[lo]), True)))
+                    if block is None or block.name != blocks[lo]:
+                        if block:
+                            yield from block.results(keep)
+                        block = _Block(int(blocks[lo]), kind)
+                    block.add(int(parts[lo]), b.slice(lo, hi - lo))
+                    lo = hi
+            if block:
+                yield from block.results(keep)
 
         yield from _batches(out(), [pa.int64(), *LIST_TYPES, pa.list_(pa.int64())], ["block", "node", "ids", "sims", "done"], 500)
 
     return staged(rows.mapInArrow(join, STATE), "state")
 
 
+class _Block:
+    """What a task knows of a block: lists, its nodes' states, and the pairs to compare."""
+
+    def __init__(self, name: int, kind: type):
+        self.name, self.kind = name, kind
+        self.links: dict[int, np.ndarray] = {}
+        self.states: list[tuple] = []
+        self.raws: list[bytes] = []
+        self.of = None
+
+    def add(self, part: int, rows: pa.RecordBatch) -> None:
+        ids = rows.column(2).to_numpy()
+        if part == 0:
+            self.links.update(zip(ids.tolist(), (x.values.to_numpy() for x in rows.column(4))))
+        elif part == 1:
+            arrays = zip(*([x.values.to_numpy() for x in rows.column(c)] for c in (4, 5, 6, 7)))
+            self.states += [(i, *a) for i, a in zip(ids.tolist(), arrays)]
+            self.raws += rows.column(3).to_pylist()
+        else:
+            self.pair()
+            x = np.frombuffer(b"".join(rows.column(3).to_pylist()), self.kind).reshape(len(ids), -1).astype(np.float32)
+            lo, hi = np.searchsorted(self.to, ids[0]), np.searchsorted(self.to, ids[-1], "right")
+            for at in range(lo, hi, 50_000):  # ids ascend, so their pairs are one run
+                run = slice(at, min(at + 50_000, hi))
+                self.sim[run] = np.einsum("ij,ij->i", self.x[self.of[run]], x[np.searchsorted(ids, self.to[run])])
+
+    def pair(self) -> None:
+        """The pairs (number of the node, candidate), in the order of candidates."""
+        if self.of is not None:
+            return
+        none, new = np.zeros(0, np.int64), []
+        for i, ids, _, _, front in self.states:
+            met = [self.links[u] for u in front.tolist() if u in self.links]
+            new.append(np.setdiff1d(np.concatenate(met), np.append(ids, i)) if met else none)
+        self.links = {}
+        of, to = np.repeat(np.arange(len(new)), [len(n) for n in new]), np.concatenate([none, *new])
+        order = np.argsort(to, kind="stable")
+        self.of, self.to, self.sim = of[order], to[order], np.zeros(len(to), np.float32)
+        self.x = np.frombuffer(b"".join(self.raws), self.kind).reshape(len(self.raws), -1).astype(np.float32)
+
+    def results(self, keep: int):
+        self.pair()
+        order = np.argsort(self.of, kind="stable")
+        ends = np.searchsorted(self.of[order], np.arange(len(self.states) + 1))
+        for k, (i, ids, sims, done, front) in enumerate(self.states):
+            own = order[ends[k] : ends[k + 1]]
+            ids, sims = merged([ids, self.to[own]], [sims, self.sim[own]], keep)
+            yield self.name, i, ids, sims, np.concatenate([done, front])
+
+
 def _blocked(n: int, per: int) -> Column:
     return F.pmod(F.xxhash64("node"), F.lit(max(1, -(-n // per))))
 
@@ -237,7 +278,7 @@ def search(table: DataFrame, top: int = 20, every: int = 20, k: int = 32, passes
     none = F.array().cast("array<bigint>").alias("done")
     for _ in range(descents):
         near = staged(adjacency(graph, 8, 8), "near")
-        state = graph.join(near, "node").select(_blocked(n, 2048).alias("block"), "node", "ids", "sims", none, F.col("near").alias("front"))
+        state = graph.join(near, "node").select(_blocked(n, 8192).alias("block"), "node", "ids", "sims", none, F.col("near").alias("front"))
         better = expanded(state, near, nodes, kind, k).select("node", "ids", "sims")
         now = F.sum(F.aggregate("sims", F.lit(0.0), lambda a, x: a + x))
         before, after, entries = graph.agg(now).first()[0] or 0.0, better.agg(now).first()[0] or 0.0, graph.agg(F.sum(F.size("ids"))).first()[0] or 1
@@ -248,7 +289,7 @@ def search(table: DataFrame, top: int = 20, every: int = 20, k: int = 32, passes
     queries = rows.where(F.col("vec_id") % every == 0).join(nodes.select("node", "raw"), "raw").select(F.col("vec_id").alias("query_id"), "node")
     queries = staged(queries, "queries")
     asked = queries.select("node").distinct()
-    state = asked.join(graph, "node", "left").select(_blocked(max(1, n // every), 512).alias("block"), "node", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"), F.coalesce("sims", F.array().cast("array<float>")).alias("sims"), none)
+    state = asked.join(graph, "node", "left").select(_blocked(max(1, n // every), 1024).alias("block"), "node", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"), F.coalesce("sims", F.array().cast("array<float>")).alias("sims"), none)
     for _ in range(rounds):
         front = F.slice(F.array_except("ids", "done"), 1, expand)
         state = expanded(state.withColumn("front", front), near, nodes, kind, beam)
