@@ -5,7 +5,7 @@
    Documents of equal sets are one node from here on.
 2. Nodes that share a band key are linked to the least of them; components of those links are the
    candidate groups.  No pairs are made within a bucket.
-3. A group of more than ``block`` nodes is dealt into blocks by a hash, and each pair of blocks is a
+3. A group of more than ``block`` nodes or ``most`` shingles is dealt into blocks by a hash, and each pair of blocks is a
    unit of work; all pairs of a unit are compared in the task and none is emitted: values of the
    signatures are compared 16 at a time, a pair is dropped once the posterior probability (uniform
    prior) that its similarity reaches the threshold is below ``tolerance``, and the rest are
@@ -20,15 +20,15 @@ with null ids.  Repeated rows are copies.  An empty table gives no rows; other c
 
 from __future__ import annotations
 
-import functools
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import partitions, small_batches, staged
+from .common import kept, partitions, small_batches, staged
 from .graph import components
 
 WORDS, BANDS, ROWS = 5, 20, 4
@@ -48,7 +48,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    def __init__(self, capacity: int = 800_000):
+    def __init__(self, capacity: int = 400_000):
         self.known: dict[str, int] = {}
         self.capacity = capacity
 
@@ -76,10 +76,9 @@ class Shingler:
         return out
 
 
-@functools.lru_cache(maxsize=1)
 def shingler() -> Shingler:
     """One for all tasks of a Python worker."""
-    return Shingler()
+    return kept(("shingler",), Shingler)
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -142,7 +141,7 @@ def links_of(sets: list[np.ndarray], sigs: np.ndarray, first: int, threshold: fl
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the shingle set, band keys (none for an empty set)."""
+    """doc_id, key and size of the shingle set, band keys (none for an empty set)."""
     small_batches(docs.sparkSession)
 
     def sketch(batches):
@@ -152,10 +151,10 @@ def sketches(docs: DataFrame) -> DataFrame:
             sets = shingler().sets(b.column(1).to_pylist())
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             rows = [bands(signature(s)) if len(s) else [] for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, pa.list_(pa.int64()))], ["doc_id", "key", "shingles", "bands"])
 
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return some.mapInArrow(sketch, "doc_id bigint, key binary, bands array<bigint>")
+    return some.mapInArrow(sketch, "doc_id bigint, key binary, shingles bigint, bands array<bigint>")
 
 
 def candidate_groups(sketched: DataFrame) -> DataFrame:
@@ -166,11 +165,12 @@ def candidate_groups(sketched: DataFrame) -> DataFrame:
     return components(rows.join(shared.hint("merge"), "band").where("key <> low").select(F.col("key").alias("a"), F.col("low").alias("b")).distinct())
 
 
-def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float, tolerance: float, block: int) -> tuple[DataFrame, bool]:
+def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float, tolerance: float, block: int, most: int) -> tuple[DataFrame, bool]:
     """node, near (least node it is connected to in a unit), links (to documents); whether any group has several units."""
     spark = docs.sparkSession
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    members = groups.join(sizes, "root").join(nodes, groups["node"] == nodes["key"]).select("root", "blocks", "key", "rep", "copies")
+    members = groups.join(nodes, groups["node"] == nodes["key"]).select("root", "key", "rep", "copies", "shingles")
+    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("shingles") / most)).alias("blocks"))
+    members = members.join(sizes, "root").select("root", "blocks", "key", "rep", "copies")
     members = staged(members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))), "members")
     several = members.agg(F.coalesce(F.max("blocks"), F.lit(0))).first()[0] > 1
     texts = members.hint("merge").join(docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")), "rep")
@@ -237,13 +237,11 @@ def _links(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.binary(), pa.binary(), pa.int64()))], ["node", "near", "links"])
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 256) -> DataFrame:
-    """A row for each document: doc_id, rep_id (least id of its shingle set), class_id (least id of its
-    class of near duplicates), n_copies (documents of its set, itself too), n_links (other documents
-    at ``threshold`` or above, copies too)."""
+def classified(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-6, block: int = 256, most: int = 4_000_000) -> DataFrame:
+    """What near_duplicates gives, and each row's set (key) and class (class_key), both null for an empty set."""
     sketched = staged(sketches(docs), "sketches")
-    nodes = staged(sketched.where("doc_id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "nodes")
-    found, several = verified(docs, nodes, candidate_groups(sketched), threshold, tolerance, block)
+    nodes = staged(sketched.where("doc_id IS NOT NULL AND key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("shingles").alias("shingles")), "nodes")
+    found, several = verified(docs, nodes, candidate_groups(sketched), threshold, tolerance, block, most)
     found = staged(found, "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"), F.min("near").alias("near"))
     if several:
@@ -251,32 +249,50 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float =
         links = links.join(roots, "node").select("node", "links", F.col("root").alias("near"))
     links = staged(links, "classes")
     least = links.join(nodes, links["node"] == nodes["key"]).groupBy("near").agg(F.min("rep").alias("class_id"))
-    linked = links.join(least, "near").select(F.col("node").alias("key"), "links", "class_id")
-    named = nodes.join(linked, "key", "left").select("key", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "rep").alias("class_id"))
+    linked = links.join(least, "near").select(F.col("node").alias("key"), "links", "class_id", "near")
+    named = nodes.join(linked, "key", "left").select("key", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("near", "key").alias("class_key"))
+    named = staged(named, "named")  # then both sides come straight from a shuffle, and a set of very many copies can be split
     own = F.when(F.col("rep").isNull() | F.col("doc_id").isNull(), F.col("doc_id"))
+    counted = own.isNull() & F.col("rep").isNotNull() & F.col("doc_id").isNotNull()
     return sketched.select("doc_id", "key").join(named, "key", "left").select(
-        "doc_id", F.coalesce(own, "rep").alias("rep_id"), F.coalesce(own, "class_id").alias("class_id"),
-        F.when(own.isNull() & F.col("rep").isNotNull(), F.col("copies")).otherwise(1).alias("n_copies"),
-        F.when(own.isNull() & F.col("rep").isNotNull(), F.col("links") + F.col("copies") - 1).otherwise(0).alias("n_links"),
+        "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "rep")).alias("rep_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce(own, "class_id")).alias("class_id"),
+        F.when(counted, F.col("copies")).otherwise(1).alias("n_copies"), F.when(counted, F.col("links") + F.col("copies") - 1).otherwise(0).alias("n_links"), "key", "class_key",
     )
 
 
+def near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """A row for each document: doc_id, rep_id (least id of its shingle set), class_id (least id of its
+    class of near duplicates), n_copies (documents of its set, itself too), n_links (other documents
+    at the threshold or above, copies too)."""
+    return classified(docs, **how).drop("key", "class_key")
+
+
 def one_of_each(docs: DataFrame, **how) -> DataFrame:
     """The documents without all but one of each class of near duplicates: the row of the least id stays.
 
-    Rows of null ids stay.  If ids repeat, rows are told apart by their texts' sets too, and of equal rows one stays.
+    Rows of null ids and empty texts stay.  If ids repeat, rows are told apart by their sets too: of the
+    rows of the least id that of the least set stays, of rows of one id and set the least.
     """
-    judged = staged(near_duplicates(docs, **how), "judged")
-    lost = judged.where("doc_id <> class_id").select("doc_id")
+    judged = staged(classified(docs, **how), "judged")
     repeats = judged.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not repeats:
-        return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
-    judged = near_duplicates_by_row(docs, judged)
-    return judged.select(*docs.columns)
+        return docs.join(judged.where("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    stay = judged.where("doc_id = class_id AND key IS NOT NULL").groupBy("class_key").agg(F.min(F.struct("doc_id", "key")).alias("s")).select("s.doc_id", "s.key")
+    rows = keyed(docs)
+    kept = rows.join(stay, ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.min("doc").alias("doc"))
+    return kept.select("doc.*").unionByName(rows.where("doc_id IS NULL OR key IS NULL").select("doc.*"))
 
 
-def near_duplicates_by_row(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """For tables whose ids repeat: an id stays if any of its rows is the one to stay, once."""
-    stay = judged.where("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc (all columns), doc_id and the key of the shingle set of each row."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def key(batches):
+        import xxhash
+
+        for b in batches:
+            sets = shingler().sets(b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())], ["doc", "doc_id", "key"])
+
+    return rows.mapInArrow(key, StructType([*rows.schema.fields[:2], StructField("key", BinaryType())]))

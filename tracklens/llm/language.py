@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import kept, small_batches
 
 # First and last code points of scripts' letters.
 SCRIPTS = [
@@ -33,6 +33,7 @@ SCRIPTS = [
 ]
 
 ORDER = 4
+MOST_LANGUAGES = 10_000
 BACK_OFF = np.log(0.4)
 LETTERS = re.compile(r"[^\W\d_]+")
 WORD = re.compile(r"\S+")
@@ -53,7 +54,6 @@ class Model:
 
     def __init__(self, counts: dict[tuple[str, str], int]):
         """counts: of (language, gram) with grams of 1 to ORDER letters in words between blanks, and of scripts as "\\tname"."""
-        self.made: dict = {}
         self.langs = sorted({lang for lang, _ in counts})
         at = {lang: i for i, lang in enumerate(self.langs)}
         n_langs = len(self.langs)
@@ -105,9 +105,7 @@ class Model:
 
     def labeller(self, penalty: float, floor: float) -> "Labeller":
         """One for all tasks of a Python worker, so its words stay known."""
-        if (penalty, floor) not in self.made:
-            self.made[penalty, floor] = Labeller(self, penalty, floor)
-        return self.made[penalty, floor]
+        return kept(("labeller", id(self), penalty, floor), lambda: Labeller(self, penalty, floor))
 
     def of(self, runs: list[str]) -> np.ndarray:
         """Log-likelihoods of letter runs (a row each) in each language."""
@@ -144,7 +142,7 @@ class Model:
     def words(self, tokens: list[str], floor: float) -> tuple[np.ndarray, np.ndarray]:
         """Each token's scores (0 for the best language, none below ``floor``) and its letters."""
         found = [LETTERS.findall(t) for t in tokens]
-        scores, letters = np.zeros((len(tokens), len(self.langs))), np.array([sum(map(len, f)) for f in found], np.int64)
+        scores, letters = np.zeros((len(tokens), len(self.langs))), np.array([sum(len(r) if r.isalpha() else sum(map(str.isalpha, r)) for r in f) for f in found], np.int64)
         number: dict[str, int] = {}
         for f in found:
             for r in f:
@@ -204,7 +202,7 @@ def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
 class Labeller:
     """Labels texts; keeps the scores of up to ``capacity`` words it has met, which changes speed only."""
 
-    def __init__(self, model: Model, penalty: float, floor: float, capacity: int = 1_000_000):
+    def __init__(self, model: Model, penalty: float, floor: float, capacity: int = 500_000):
         self.model, self.penalty, self.floor, self.capacity = model, penalty, floor, capacity
         self.clear()
 
@@ -262,9 +260,13 @@ def fit(docs: DataFrame, per_lang: int = 2000) -> Model:
     spark = docs.sparkSession
     small_batches(spark)
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-    sizes = usable.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language label
-    share = sizes.select("lang", (F.lit(per_lang * 1_000_000) / F.col("n")).cast("long").alias("upto"))
-    sample = usable.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)).alias("at")).join(F.broadcast(share), "lang").where("at < upto").select("lang", "text")
+    labels = usable.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(labels) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not labels:
+        return Model({})
+    upto = F.create_map(*(F.lit(x) for r in labels for x in (r["lang"], per_lang * 1_000_000 // r["count"])))
+    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < upto[F.col("lang")]).select("lang", "text")
 
     def count(batches):
         n: Counter = Counter()
