@@ -81,6 +81,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
         if out is not None:
             size = out.tell()
             out.close()
+            if store.get_file_info(name).type != fs.FileType.NotFound:  # of an earlier attempt, the same records
+                store.delete_file(name)
             store.move(draft, name)
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name.rpartition('/')[2]}"]), pa.array([size], pa.int64()), pa.array([n], pa.int64())], ["path", "size", "records"])
 
