@@ -5,7 +5,8 @@ that parameter) give counts of letter 1- to 4-grams within words and the scripts
 Predict: a word's script narrows the languages to those that use it; each gets the word's
 log-likelihood by a back-off n-gram model, less the best one's and floored; Viterbi with a penalty
 for switching labels every word; runs of a label are spans.  The document's language has most
-letters; the score is that share times the odds of it against the runner-up.
+letters; the score is that share times the odds of it against the
+runner-up over its own spans.
 
 Null text, or text without letters, is ``und`` with score 0 and no spans; so is every text if
 there is nothing to learn from.  Words in a script that no language has may be of any language.
@@ -241,7 +242,7 @@ class Labeller:
             path = viterbi(s, self.penalty)
             share = np.bincount(path, letters, len(langs))
             best = int(share.argmax())
-            total = s.sum(axis=0)
+            total = s[path == best].sum(axis=0)  # over its own spans: what others say of theirs is no doubt about it
             margin = total[best] - np.delete(total, best).max() if len(langs) > 1 else 50.0
             score = share[best] / share.sum() / (1 + np.exp(-np.clip(margin, -50, 50)))
             change = np.flatnonzero(np.diff(path)) + 1
