@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -45,12 +48,24 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 _kept: dict = {}
+try:
+    _trim = ctypes.CDLL(None).malloc_trim  # glibc only
+except (AttributeError, OSError):
+    _trim = None
 
 
 def kept(key: tuple, make):
-    """What a Python worker keeps between tasks, such as a cache of words: one thing at a time, which bounds its memory."""
+    """What a Python worker keeps between tasks, such as a cache of words: one thing at a time, which bounds its memory.
+
+    Called at the start of a task; memory that earlier tasks have freed goes back to the system.
+    """
     if key not in _kept:
         _kept.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+    if key not in _kept:
         _kept[key] = make()
     return _kept[key]
 

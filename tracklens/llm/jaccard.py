@@ -48,7 +48,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    def __init__(self, capacity: int = 400_000):
+    def __init__(self, capacity: int = 200_000):
         self.known: dict[str, int] = {}
         self.capacity = capacity
 
@@ -168,8 +168,9 @@ def candidate_groups(sketched: DataFrame) -> DataFrame:
 def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: float, tolerance: float, block: int, most: int) -> tuple[DataFrame, bool]:
     """node, near (least node it is connected to in a unit), links (to documents); whether any group has several units."""
     spark = docs.sparkSession
-    members = groups.join(nodes, groups["node"] == nodes["key"]).select("root", "key", "rep", "copies", "shingles")
-    sizes = members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("shingles") / most)).alias("blocks"))
+    # staged, so that both sides of the next join come straight from a shuffle and a large group can be split
+    members = staged(groups.join(nodes, groups["node"] == nodes["key"]).select("root", "key", "rep", "copies", "shingles"), "members")
+    sizes = staged(members.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("shingles") / most)).alias("blocks")), "sizes")
     members = members.join(sizes, "root").select("root", "blocks", "key", "rep", "copies")
     members = staged(members.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks"))), "members")
     several = members.agg(F.coalesce(F.max("blocks"), F.lit(0))).first()[0] > 1
@@ -276,7 +277,7 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     judged = staged(classified(docs, **how), "judged")
     repeats = judged.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not repeats:
-        return docs.join(judged.where("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+        return docs.join(judged.where("doc_id <> class_id").select("doc_id").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     stay = judged.where("doc_id = class_id AND key IS NOT NULL").groupBy("class_key").agg(F.min(F.struct("doc_id", "key")).alias("s")).select("s.doc_id", "s.key")
     rows = keyed(docs)
     kept = rows.join(stay, ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.min("doc").alias("doc"))

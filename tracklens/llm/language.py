@@ -98,6 +98,10 @@ class Model:
         self.may = np.array([*(self.scripts[n] for n in names), np.ones(n_langs, bool)])
         self.script_row = {n: i for i, n in enumerate(names)}
 
+    def __getstate__(self) -> dict:
+        """Tasks need the arrays only."""
+        return self.__dict__ | {"score": {}}
+
     def key(self, gram: str) -> int:
         out = 0
         for c in gram:
@@ -203,7 +207,7 @@ def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
 class Labeller:
     """Labels texts; keeps the scores of up to ``capacity`` words it has met, which changes speed only."""
 
-    def __init__(self, model: Model, penalty: float, floor: float, capacity: int = 500_000):
+    def __init__(self, model: Model, penalty: float, floor: float, capacity: int = 250_000):
         self.model, self.penalty, self.floor, self.capacity = model, penalty, floor, capacity
         self.clear()
 
