@@ -472,9 +472,9 @@ def doc_hit(spark, sf_dir):
     """
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    piece = lambda text, step: F.transform(F.sequence(F.lit(1), F.length(text) - 23, F.lit(step)), lambda i: F.substring(text, i, F.lit(24)))
-    runs = b.where("length(passage) >= 47").select("item_id", F.explode(F.array_distinct(piece(F.col("passage"), 1))).alias("run"))
-    pieces = d.where("length(text) >= 47").select("doc_id", F.explode(F.array_distinct(piece(F.col("text"), 24))).alias("run"))
+    windows = F.transform(F.sequence(F.lit(1), F.length("passage") - 23), lambda i: F.substring("passage", i, F.lit(24)))
+    runs = b.where("length(passage) >= 47").select("item_id", F.explode(F.array_distinct(windows)).alias("run"))
+    pieces = d.where("length(text) >= 47").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?s).{24}"), F.lit(0)))).alias("run"))
     near = pieces.join(runs, "run").select("doc_id", "item_id").distinct()
     met = near.join(b, "item_id").join(d, "doc_id").where(F.col("text").contains(F.col("passage"))).select("doc_id", "item_id")
     short = b.where("length(passage) < 47")
