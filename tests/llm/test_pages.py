@@ -200,6 +200,14 @@ def test_main_text_of_one_page():
     assert main("a<p>" + "x " * 100_000) == "a\n" + ("x " * 100_000).strip()
 
 
+def test_names_do_not_drop_articles():
+    for open_, close in (("<body class='has-sidebar'>", "</body>"), ("<article class='post comments-open'>", "</article>"), ("<div id='content' class='no-ads'>", "</div>"), ("<main class='widget-area'>", "</main>"),
+                         ("<div class='page sidebar'><div id='left-menu'><article>", "</article></div></div>"), ("<body id=search><div role=main class=comments>", "</div></body>")):
+        assert main(f"{open_}<p>the article</p>{close}") == "the article"
+    for furniture in ("<div class='ad'>x</div>", "<div class='site-footer'>x</div>", "<div id='main-nav'>x</div>", "<div class='widget-area'>x</div>", "<div id='comments'><article>x</article></div>", "<div role='banner'>x</div>"):
+        assert main(f"<article><p>the article</p></article>{furniture}") == "the article" == main(f"{furniture}<main><p>the article</p></main>")
+
+
 def test_alignment_is_best():
     def brute(a, b):
         if a[0] != b[0]:

@@ -8,7 +8,8 @@
 3. A slot whose most frequent text is in ``constant`` of ``least`` or more pages is template.  The
    text of a page is what its varying slots hold, in page order, less page furniture: elements that
    by tag, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-   styles or reader comments.  Where a page has an ``article`` or ``main`` element, only what is
+   styles or reader comments.  A class or id never marks html, body, main or article, nor what holds
+   all of the page's main and article elements; a part of a name marks only as its last word.  Where a page has an ``article`` or ``main`` element, only what is
    inside counts, and its constant slots stay if all of them are constant.
 
 A host with fewer than ``least`` different pages has no template.  Null html is empty and gives "";
@@ -44,6 +45,10 @@ FURNITURE_NAMES = set(
     "recommendations comment comments commentlist disqus respond reply replies toolbar pagination pager copyright masthead search contentinfo complementary widget skip".split()
 )
 HEADER_NAMES = {"header", "site-header", "page-header", "topbar"}
+# A name of several parts tells of furniture by its last part, or by the part before words for a place.
+PLACES = set("area bar block box buttons column container content form inner items links list menu outer panel posts section slot stories unit wrap wrapper zone".split())
+STATES = set("has have no not is with without show hide hidden open closed enable enabled disable disabled layout type format".split())
+BODIES = {"html", "body", "main", "article"}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + RAW + r")\b[^>]*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
@@ -55,25 +60,54 @@ DEPTH = 60
 
 
 class Node:
-    __slots__ = ("attrs", "children", "furniture", "main", "name", "parent", "slot", "tag", "text", "depth")
+    __slots__ = ("body", "children", "furniture", "hint", "holds", "main", "marked", "name", "parent", "slot", "tag", "text", "depth")
 
     def __init__(self, tag: str, attrs: str, parent: "Node | None"):
         self.tag, self.parent, self.children, self.text, self.slot = tag, parent, [], [], -1
         self.depth = parent.depth + 1 if parent else 0
-        self.furniture, self.main = bool(parent and parent.furniture), bool(parent and parent.main)
+        self.furniture, self.hint, self.main = False, None, bool(parent and parent.main)
         found = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(attrs)} if attrs and "=" in attrs else {}
         words = f"{found.get('class', '')} {found.get('id', '')}".split()
         self.name = ".".join([tag, *sorted(re.sub(r"\d+", "0", w) for w in words)]) if words else tag
-        if tag in ("article", "main") or found.get("role") in ("main", "article"):
+        role = found.get("role", "")
+        self.body = tag in BODIES or role in ("main", "article")
+        self.holds = int(self.body and tag not in ("html", "body"))
+        if self.holds:
             self.main = True
-        parts = {p for w in [*words, found.get("role", "")] for p in (w, *re.split(r"[-_]+", w))}
-        if tag in FURNITURE_TAGS or parts & FURNITURE_NAMES or not self.main and (tag == "header" or parts & HEADER_NAMES):
-            self.furniture = True
+        # by tag or role; by a whole name; by a part of a name, which alignment can overrule
+        self.marked = 0
+        if tag in FURNITURE_TAGS or tag not in BODIES and role in FURNITURE_NAMES or not self.main and tag == "header":
+            self.marked = 3
+        elif not self.body and words:
+            names = FURNITURE_NAMES if self.main else FURNITURE_NAMES | HEADER_NAMES
+            self.marked = 2 if names.intersection(words) else int(any(map(hints_at_furniture, words)))
+
+
+def hints_at_furniture(name: str) -> bool:
+    parts = [p for p in re.split(r"[-_]+", name) if p]
+    if len(parts) < 2 or STATES.intersection(parts):
+        return False
+    while len(parts) > 1 and parts[-1] in PLACES:
+        parts.pop()
+    return parts[-1] in FURNITURE_NAMES
+
+
+def settle(nodes: list[Node]) -> None:
+    """Mark furniture (``nodes``: parents first).  A name does not mark an element that holds all of the page's main elements."""
+    for n in reversed(nodes):
+        if n.parent:
+            n.parent.holds += n.holds
+    all_ = nodes[0].holds
+    for n in nodes[1:]:
+        marked = n.marked if n.marked == 3 or not (all_ and n.holds == all_) else 0
+        n.furniture = n.parent.furniture or marked >= 2
+        n.hint = n if marked == 1 else n.parent.hint
 
 
 def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The tree of block elements, and the blocks of text in page order with their elements."""
     root = Node("#root", "", None)
+    nodes = [root]
     stack: list[tuple[str, Node]] = [("#root", root)]
     blocks: list[tuple[Node, str]] = []
     held: list[str] = []
@@ -131,12 +165,14 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
         flush()
         parent = stack[-1][1]
         node = Node(tag, m[4] or m[7] or "", parent)
+        nodes.append(node)
         if node.depth <= DEPTH:
             parent.children.append(node)
         stack.append((tag, node))
     if at < len(html):
         held.append(html[at:])
     flush()
+    settle(nodes)
     return root, blocks
 
 
@@ -227,9 +263,23 @@ def align(a: list, b: list) -> dict[int, int]:
     return out
 
 
-def content(root: Node, blocks: list[tuple[Node, str]], template: set[int]) -> str:
-    """The main text, given the numbers of the page's template slots."""
-    kept = [(n, t) for n, t in blocks if not n.furniture]
+def content(root: Node, blocks: list[tuple[Node, str]], template: set[int], varying: set[int] | frozenset = frozenset()) -> str:
+    """The main text, given the numbers of the page's template slots and of those whose text varies over the host."""
+    overruled = {id(n.hint) for n, _ in blocks if n.hint and n.slot in varying}
+    hidden: dict[int, bool] = {}
+
+    def hides(hint: Node | None) -> bool:
+        """Whether a hint or one around it stands."""
+        chain = []
+        while hint and id(hint) not in hidden:
+            chain.append(hint)
+            hint = hint.parent.hint
+        out = bool(hint) and hidden[id(hint)]
+        for h in reversed(chain):
+            out = hidden[id(h)] = out or id(h) not in overruled
+        return out
+
+    kept = [(n, t) for n, t in blocks if not n.furniture and not hides(n.hint)]
     main = [(n, t) for n, t in kept if n.main]
     if main:
         return "\n".join(t for _, t in ([(n, t) for n, t in main if n.slot not in template] or main))
