@@ -248,6 +248,29 @@ def test_template_is_induced(spark):
     assert wrapper.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_template_of_other_pages_than_the_first(spark):
+    banner = "<div>Our house banner</div>"
+    story = lambda i, more="": f"<html><body>{banner}{more}<div class='story'><p>Story number {i}</p></div><div>All rights</div></body></html>"
+    second = lambda i: f"<html><body><table><tr><td>Second house</td></tr></table><ul><li>Item {i}</li></ul><h6>Imprint</h6></body></html>"
+    rows = []
+    for h, first in (("null", None), ("empty", ""), ("error", "<h1>502 Bad Gateway</h1>")):  # the smallest page_id is no usual page
+        rows += [(h, 0, first)] + [(h, i, story(i)) for i in range(1, 12)]
+    rows += [("two", i, second(i) if i % 3 == 0 else story(i)) for i in range(24)]
+    # what the first page lacks, and a slot where the first page has a text of its own
+    rows += [("lacks", i, story(i, "<p>Read our new book</p>" if i % 2 else "")) for i in range(30)]
+    rows += [("own", i, story(i).replace("All rights", "Hello") if i == 0 else story(i)) for i in range(20)]
+    # a name's part is overruled where the text varies
+    rows += [("named", i, f"<body>{banner}<div class='page-banner'><p>Words {i}</p></div><div class='top-banner'>All the same</div></body>") for i in range(10)]
+    ids = {(h, i): k for k, (h, i, _) in enumerate(rows)}
+    table = spark.createDataFrame([(ids[h, i], f"http://{h}/", t) for h, i, t in rows], "page_id bigint, url string, html string")
+    by = {r["page_id"]: r["text"] for r in wrapper.extract(table).collect()}
+    got = {k: by[v] for k, v in ids.items()}
+    assert [got["null", 0], got["empty", 0], got["error", 0]] == ["", "", "502 Bad Gateway"]
+    want = {(h, i): f"Words {i}" if h == "named" else f"Item {i}" if h == "two" and i % 3 == 0 else f"Story number {i}" for h, i in got}
+    want["own", 0] = "Story number 0\nHello"
+    assert {k: v for k, v in got.items() if k[1] or k[0] in ("two", "lacks", "own", "named")} == {k: v for k, v in want.items() if k[1] or k[0] in ("two", "lacks", "own", "named")}
+
+
 def test_main_text_of_the_test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     docs = {" ".join(r[0].split()) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").select("text").collect()}

@@ -2,14 +2,17 @@
 
 1. Each page's DOM is reduced to slots: block elements named by tag, classes and id, siblings of one
    name that follow each other being one slot; a slot knows a digest of its own text.
-2. The page of the smallest page_id is its host's pivot.  Every page's slots are aligned with the
-   pivot's by simple tree matching (the largest set of matching nodes that keeps names, order and
-   ancestry), and each pivot slot counts the texts it meets over the host's different pages.
-3. A slot whose most frequent text is in ``constant`` of ``least`` or more pages is template.  The
+2. Pages of a host whose outermost slots (three levels) have the same names are a layout.  Each layout
+   of ``least`` or more different pages has a pivot, its page of most slots; rarer ones go with the host's
+   most frequent layout.  A page's slots are aligned with its pivot's by simple tree matching (the
+   largest set of matching nodes that keeps names, order and ancestry); a slot the pivot does not have
+   goes by its path of names.  Each slot counts the texts it meets over the host's different pages.
+3. A slot is template where it holds the text that ``constant`` of its ``least`` or more pages have.  The
    text of a page is what its varying slots hold, in page order, less page furniture: elements that
    by tag, role, class or id are menus, headers, footers, sidebars, notices, adverts, forms, scripts,
    styles or reader comments.  A class or id never marks html, body, main or article, nor what holds
-   all of the page's main and article elements; a part of a name marks only as its last word.  Where a page has an ``article`` or ``main`` element, only what is
+   all of the page's main and article elements; a part of a name marks only as its last word, and not
+   where the slots inside vary over the host.  Where a page has an ``article`` or ``main`` element, only what is
    inside counts, and its constant slots stay if all of them are constant.
 
 A host with fewer than ``least`` different pages has no template.  Null html is empty and gives "";
@@ -220,6 +223,37 @@ def walk(tree: list):
         todo.extendleft(reversed(t[3]))
 
 
+def layout(tree: list) -> int:
+    """A digest of the names of the outermost three levels, whatever their order and number."""
+    found, level = set(), [("", k) for k in tree[3]]
+    for _ in range(3):
+        found.update(f"{path}/{t[0]}" for path, t in level)
+        level = [(f"{path}/{t[0]}", k) for path, t in level for k in t[3]]
+    return _digest("\n".join(sorted(found)))
+
+
+def paths(tree: list) -> list[int]:
+    """Of each slot, in the order of their numbers, a digest (below 0) of the names and places down to it."""
+    out, todo = [], [(tree, 0, 0)]
+    while todo:
+        t, above, nth = todo.pop()
+        own = _digest(f"{above}/{t[0]}/{nth}")
+        out.append(-own)
+        seen: dict[str, int] = {}
+        kids = []
+        for k in t[3]:
+            seen[k[0]] = seen.get(k[0], -1) + 1
+            kids.append((k, own, seen[k[0]]))
+        todo.extend(reversed(kids))
+    return out
+
+
+def located(tree: list, pivot: list) -> list[int]:
+    """Of each slot, in the order of their numbers, the pivot's slot it matches, else its path."""
+    met = align(tree, pivot)
+    return [met.get(i, p) for i, p in enumerate(paths(tree))]
+
+
 def align(a: list, b: list) -> dict[int, int]:
     """Simple tree matching: the slots of ``a`` that match slots of ``b``, by number."""
     number = lambda tree: {id(t): i for i, t in enumerate(walk(tree))}
@@ -296,52 +330,62 @@ def extract(pages: DataFrame, least: int = 5, constant: float = 0.9) -> DataFram
         for b in batches:
             trees = [slots(parse(h)[0]) for h in b.column(b.schema.get_field_index("html")).to_pylist()]
             raw = [json.dumps(t, separators=(",", ":")) for t in trees]
-            page = [_digest(r) for r in raw]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(page, pa.int64()), pa.array(raw)], ["page_id", "host", "page", "tree"])
+            page, kind, size = [_digest(r) for r in raw], [layout(t) for t in trees], [sum(1 for _ in walk(t)) for t in trees]
+            columns = [*b.columns, pa.array(page, pa.int64()), pa.array(kind, pa.int64()), pa.array(size, pa.int32()), pa.array(raw)]
+            yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "page", "kind", "size", "tree"])
 
     # of pages with equal slots and texts one is enough
-    trees = staged(base.select("page_id", "host", "html").mapInArrow(reduce, "page_id bigint, host string, page bigint, tree string"), "z_trees")
-    ids = trees.groupBy("host", "page").agg(F.min("page_id").alias("page_id")).where("page_id IS NOT NULL")
-    hosts = staged(ids.groupBy("host").agg(F.min("page_id").alias("page_id"), F.count("*").alias("n")).where(F.col("n") >= least), "hosts")
-    pivots = trees.join(hosts, ["host", "page_id"]).groupBy("host").agg(F.min("tree").alias("pivot"), F.first("n").alias("n"))
+    reduced = staged(base.mapInArrow(reduce, "page_id bigint, url string, host string, html string, page bigint, kind bigint, size int, tree string"), "z_trees")
+    trees = reduced.select("page_id", "host", "page", "kind", "size", "tree")
+    ids = trees.groupBy("host", "page", "kind", "size").agg(F.min("page_id").alias("page_id")).where("page_id IS NOT NULL")
+    kinds = staged(ids.groupBy("host", "kind").agg(F.count("*").alias("n"), F.max(F.struct("size", (-F.col("page_id")).alias("at"))).alias("best")), "kinds")
+    hosts = kinds.groupBy("host").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "best", "kind")).alias("top")).where(F.col("pages") >= least)
+    group = F.when(F.col("n") >= least, F.col("kind")).otherwise(F.col("top.kind")).alias("group")
+    kinds = staged(kinds.join(hosts, "host").select("host", "kind", group, (-F.col("best.at")).alias("page_id")), "layouts")
+    pivots = trees.join(kinds.where(F.col("kind") == F.col("group")), ["host", "kind", "page_id"]).groupBy("host", "group").agg(F.min("tree").alias("pivot"))
     pivots = staged(pivots, "pivots")
-    one = trees.join(ids, ["host", "page", "page_id"]).select("host", "tree")
+    one = trees.join(ids.select("host", "page", "page_id"), ["host", "page", "page_id"]).join(kinds.select("host", "kind", "group"), ["host", "kind"]).select("host", "group", "tree")
 
     def meet(batches):
         pivot: tuple[str, list] = ("", [])
         for b in batches:
             rows = []
-            for host, tree, raw in zip(*(b.column(c).to_pylist() for c in ("host", "tree", "pivot"))):
+            for host, group, tree, raw in zip(*(b.column(c).to_pylist() for c in ("host", "group", "tree", "pivot"))):
                 if raw != pivot[0]:
                     pivot = (raw, json.loads(raw))
                 own = json.loads(tree)
-                texts = [t[1] for t in walk(own)]
-                rows += [(host, j, texts[i]) for i, j in align(own, pivot[1]).items() if texts[i]]
+                rows += [(host, group, slot, t[1]) for slot, t in zip(located(own, pivot[1]), walk(own)) if t[1]]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64()))], ["host", "slot", "words"])
-
-    met = one.join(pivots, "host").select("host", "tree", "pivot").mapInArrow(meet, "host string, slot int, words bigint").groupBy("host", "slot", "words").agg(F.count("*").alias("n"))
-    fixed = met.groupBy("host", "slot").agg(F.max("n").alias("top"), F.sum("n").alias("all")).where((F.col("all") >= least) & (F.col("top") >= constant * F.col("all")))
-    # a host has at most its pivot's slots
-    template = pivots.join(fixed.groupBy("host").agg(F.collect_list("slot").alias("fixed")), "host").select("host", "pivot", "fixed")
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "group", "slot", "words"])
+
+    met = one.join(pivots, ["host", "group"]).select("host", "group", "tree", "pivot").mapInArrow(meet, "host string, group bigint, slot bigint, words bigint").groupBy("host", "group", "slot", "words").agg(F.count("*").alias("n"))
+    judged = met.groupBy("host", "group", "slot").agg(F.max(F.struct("n", "words")).alias("top"), F.sum("n").alias("all")).where(F.col("all") >= least)
+    # the constant text of a slot, 0 for one that varies
+    text = F.when(F.col("top.n") >= constant * F.col("all"), F.col("top.words")).otherwise(0)
+    # slots of at least ``least`` pages
+    template = pivots.join(judged.groupBy("host", "group").agg(F.collect_list("slot").alias("slots"), F.collect_list(text).alias("texts")), ["host", "group"])
     template = staged(template, "templates")
 
     def take(batches):
         pivot: tuple[str, list] = ("", [])
         for b in batches:
             out = []
-            for h, raw, fixed in zip(*(b.column(c).to_pylist() for c in ("html", "pivot", "fixed"))):
+            for h, raw, numbers, texts in zip(*(b.column(c).to_pylist() for c in ("html", "pivot", "slots", "texts"))):
                 root, blocks = parse(h)
-                tree, gone = slots(root), set()
-                if fixed:
+                tree, gone, varying = slots(root), set(), set()
+                if numbers:
                     if raw != pivot[0]:
                         pivot = (raw, json.loads(raw))
-                    fixed = set(fixed)
-                    gone = {i for i, j in align(tree, pivot[1]).items() if j in fixed}
-                    # the slot must hold the constant text here too, not the page's own
-                    texts, theirs = [t[1] for t in walk(tree)], [t[1] for t in walk(pivot[1])]
-                    gone = {i for i in gone if texts[i] in theirs}
-                out.append(content(root, blocks, gone))
+                    known = dict(zip(numbers, texts))
+                    for i, (slot, t) in enumerate(zip(located(tree, pivot[1]), walk(tree))):
+                        usual = known.get(slot)
+                        # the slot must hold the constant text here too, not the page's own
+                        if usual and usual == t[1]:
+                            gone.add(i)
+                        elif usual == 0:
+                            varying.add(i)
+                out.append(content(root, blocks, gone, varying))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return base.join(template, "host", "left").select("page_id", "url", "html", "pivot", "fixed").mapInArrow(take, "page_id bigint, url string, text string, n_chars bigint")
+    placed = reduced.select("page_id", "url", "host", "html", "kind").join(kinds.select("host", "kind", "group"), ["host", "kind"], "left").join(template, ["host", "group"], "left")
+    return placed.select("page_id", "url", "html", "pivot", "slots", "texts").mapInArrow(take, "page_id bigint, url string, text string, n_chars bigint")
