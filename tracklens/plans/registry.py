@@ -94,9 +94,9 @@ def starved_spans_chopped(spark, sf_dir):
 SPANS = "spans AS (SELECT recording_id, start AS a, start + 1800000 AS b, row_number() OVER (PARTITION BY recording_id ORDER BY seg_ord)::INT AS span_ord FROM ev_seg WHERE text = 'purchase' AND seg_ord % 5 = 0)"
 
 
-def _spans(e: DataFrame) -> DataFrame:
+def _spans(e: DataFrame, which: str = "seg_ord % 5 = 0") -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("recording_id").orderBy("seg_ord"))
-    return e.where("text = 'purchase' AND seg_ord % 5 = 0").select("recording_id", F.col("start").alias("a"), (F.col("start") + 1_800_000).alias("b"), nth.alias("span_ord"))
+    return e.where(f"text = 'purchase' AND {which}").select("recording_id", F.col("start").alias("a"), (F.col("start") + 1_800_000).alias("b"), nth.alias("span_ord"))
 
 
 IN_ANY = f"WITH {EV}, {SPANS} SELECT recording_id, seg_ord, start FROM ev_seg e WHERE {{0}} EXISTS (SELECT 1 FROM spans s WHERE s.recording_id = e.recording_id AND e.start BETWEEN s.a - 200 AND s.b + 200)"
@@ -126,6 +126,33 @@ def overlap_join(spark, sf_dir):
     return intervals.overlapping_chars(e, _spans(e))
 
 
+# The queries with SQL above take a part of the rows, as their SQL does; those named _all take every one.
+
+
+@query()
+def in_any_semi_all(spark, sf_dir):
+    e = event_segments(spark, sf_dir)
+    return intervals.in_any(e, _spans(e, "true"), 200).select("recording_id", "seg_ord", "start")
+
+
+@query()
+def in_any_anti_all(spark, sf_dir):
+    e = event_segments(spark, sf_dir)
+    return intervals.in_any(e, _spans(e, "true"), 200, keep=False).select("recording_id", "seg_ord", "start")
+
+
+@query()
+def in_any_bucketed_all(spark, sf_dir):
+    e = event_segments(spark, sf_dir)
+    return intervals.in_any(e, _spans(e, "true"), 200, step=HOUR).select("recording_id", "seg_ord", "start")
+
+
+@query()
+def overlap_join_all(spark, sf_dir):
+    e = event_segments(spark, sf_dir)
+    return intervals.overlapping_chars(e, _spans(e, "true"))
+
+
 # ---- audit
 
 
@@ -194,11 +221,20 @@ ranges AS (SELECT recording_id, frame_ord * 10 + 3 AS a, frame_ord * 10 + 3 + (f
 @query(f"""WITH {ENERGY} SELECT r.recording_id, r.a, r.b, CASE WHEN sum(n_samples) >= 800 THEN round(20 * log10(greatest(sqrt(sum(sum_sq) / sum(n_samples)), 1e-9) / 32768), 6) END AS db
 FROM ranges r LEFT JOIN energy e ON e.recording_id = r.recording_id AND e.frame_ord >= r.a // 10 AND e.frame_ord < r.b // 10 GROUP BY ALL""")
 def energy_db_range(spark, sf_dir):
+    return _range_db(spark, sf_dir, "frame_ord % 7 = 0")
+
+
+@query()
+def energy_db_range_all(spark, sf_dir):
+    return _range_db(spark, sf_dir, "true")
+
+
+def _range_db(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     place = F.row_number().over(Window.partitionBy(F.col("o_custkey") % 20).orderBy("o_orderkey")).cast("long") - 1
     energy = o.select((F.col("o_custkey") % 20).cast("string").alias("recording_id"), place.alias("frame_ord"), F.lit(160).cast("long").alias("n_samples"), ((F.col("o_orderkey") * 7919 % 1000003).cast("double") * 160).alias("sum_sq"))
     f = F.col("frame_ord")
-    ranges = energy.where(f % 7 == 0).select("recording_id", (f * 10 + 3).alias("a"), (f * 10 + 3 + f % 40 * 10).alias("b"))
+    ranges = energy.where(which).select("recording_id", (f * 10 + 3).alias("a"), (f * 10 + 3 + f % 40 * 10).alias("b"))
     return audit.range_db(ranges, energy).withColumn("db", F.round("db", 6))
 
 
@@ -215,8 +251,8 @@ def bucket_winner(spark, sf_dir):
 PATCH = f"""{SPANS}, patch AS (SELECT s.recording_id, span_ord, a, b, pass_id AS attempt_ord, e.start, e."end", chars, e.seg_ord, e.text FROM spans s JOIN ev_seg e ON s.recording_id = e.recording_id AND e.start BETWEEN s.a - 7200000 AND s.b + 7200000)"""
 
 
-def _patch(e: DataFrame) -> DataFrame:
-    s = _spans(e).withColumnRenamed("recording_id", "of")
+def _patch(e: DataFrame, which: str = "seg_ord % 5 = 0") -> DataFrame:
+    s = _spans(e, which).withColumnRenamed("recording_id", "of")
     met = s.join(e, (s["of"] == e["recording_id"]) & (F.col("start") >= F.col("a") - 7_200_000) & (F.col("start") <= F.col("b") + 7_200_000))
     return met.select("recording_id", "span_ord", "a", "b", F.col("pass_id").alias("attempt_ord"), "start", "end", "chars", "seg_ord", "text")
 
@@ -227,6 +263,11 @@ def best_attempt(spark, sf_dir):
     return merge.best_attempts(_patch(event_segments(spark, sf_dir)))
 
 
+@query()
+def best_attempt_all(spark, sf_dir):
+    return merge.best_attempts(_patch(event_segments(spark, sf_dir), "true"))
+
+
 def _turns(spark, sf_dir) -> DataFrame:
     """Turns of one pass and, shifted and with a shared beginning, of another."""
     c = conversation_segments(spark, sf_dir)
@@ -327,6 +368,11 @@ def cosine_pairs(spark, sf_dir):
     return speakers.cosine_pairs(_vectors(spark, sf_dir))
 
 
+@query()
+def cosine_pairs_all(spark, sf_dir):
+    return speakers.cosine_pairs(_vectors(spark, sf_dir).withColumn("recording_id", F.regexp_extract("recording_id", "^(.*)-", 1)))
+
+
 @query()
 def avg_linkage_clusters(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("recording_id"), F.col("vec_id").cast("int").alias("seg_ord"), (F.col("vec_id") * 1000).alias("start"), (F.col("vec_id") * 1000 + F.col("vec_id") % 9 * 200).alias("end"), "embedding")
