@@ -486,9 +486,17 @@ def cer_total(spark, sf_dir):
     return pairs(spark, sf_dir).select("id", F.length("ref").cast("long").alias("n_ref"), F.levenshtein("ref", "hyp").alias("errors"))
 
 
+# The queries with SQL score ASCII passages, as DuckDB's levenshtein counts bytes; those named _all score every one.
+
+
+@query()
+def cer_total_all(spark, sf_dir):
+    return pairs(spark, sf_dir, ascii_only=False).select("id", F.length("ref").cast("long").alias("n_ref"), F.levenshtein("ref", "hyp").alias("errors"))
+
+
 @query()
 def cer_split(spark, sf_dir):
-    return pairs(spark, sf_dir).select("id", T.score_udf()("ref", "hyp").alias("s")).select("id", "s.*")
+    return pairs(spark, sf_dir, ascii_only=False).select("id", T.score_udf()("ref", "hyp").alias("s")).select("id", "s.*")
 
 
 @query(f"""WITH {PAIRS}, n AS (SELECT id, translate(regexp_replace(ref, '[,.!?;:"''()<>\\[\\]{{}}~\\s-]', '', 'g'), '0123456789', '零一二三四五六七八九') AS r, translate(regexp_replace(hyp, '[,.!?;:"''()<>\\[\\]{{}}~\\s-]', '', 'g'), '0123456789', '零一二三四五六七八九') AS h FROM pairs)
@@ -498,6 +506,12 @@ def micro_cer(spark, sf_dir):
     return T.micro(s).select("n_items", "n_ref", "n_hyp", "cer")
 
 
+@query()
+def micro_cer_all(spark, sf_dir):
+    s = pairs(spark, sf_dir, ascii_only=False).select(T.score_udf()("ref", "hyp").alias("s")).select("s.*")
+    return T.micro(s).select("n_items", "n_ref", "n_hyp", "cer")
+
+
 @query(r"SELECT doc_id, regexp_replace(text, '[（(]\s*[^（()）]*?[A-Za-zÀ-ÿĀ-ſ][^（()）]*?\s*[)）]', '', 'g') AS text FROM documents")
 def gloss_strip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.without_gloss(F.col("text")).alias("text"))
