@@ -113,6 +113,14 @@ def test_links_and_classes_equal_brute_force(spark, block):
     assert got == brute(rows)
 
 
+def test_links_are_counted_once_where_blocks_are_empty(spark):
+    # 30 groups of two near copies, each cut by shingles into more blocks than it has nodes
+    words = lambda g, last: " ".join([f"w{g}x{i}" for i in range(60)] + [last])
+    docs = spark.createDataFrame([(2 * g + k, words(g, f"end{k}")) for g in range(30) for k in range(2)], "doc_id bigint, text string")
+    got = jaccard.near_duplicates(docs, most=40).collect()
+    assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in got} == {(i, i - i % 2, 1) for i in range(60)}
+
+
 def test_near_duplicates_of_nothing_and_repeats(spark):
     shape = "doc_id bigint, text string"
     assert jaccard.near_duplicates(spark.createDataFrame([], shape)).count() == 0

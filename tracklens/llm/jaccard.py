@@ -196,7 +196,8 @@ def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, threshold: fl
     def unit(rows: list[tuple]):
         rows = list({(r[3], r[4]): r for r in rows}.values())  # a row that repeats in the input
         first = sum(not r[3] for r in rows) if rows[0][1] != rows[0][2] else 0
-        if len(rows) < 2 or first == len(rows):
+        # of two blocks, pairs of one alone are compared in that block's own unit
+        if len(rows) < 2 or rows[0][1] != rows[0][2] and first in (0, len(rows)):
             return
         sets = [np.frombuffer(r[6], np.uint64) for r in rows]
         up, links = list(range(len(rows))), [0] * len(rows)
