@@ -1,6 +1,8 @@
 """The pipeline's stages against brute force on their own inputs, and the whole run."""
 
+import random
 import re
+import string
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +33,19 @@ def test_language_stage_drops_only_what_has_no_language(stages):
     assert before - after == {10**6, 10**6 + 1}
 
 
+def test_language_stage_drops_what_no_language_holds(spark, sf_dir):
+    rng = random.Random(5)
+    noise = [" ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(3, 9))) for _ in range(60)) for _ in range(20)]
+    foreign = ["Это текст на русском языке, и больше ничего", "これは日本語の文章です", "Αυτό είναι ένα κείμενο", "नमस्ते दुनिया", "ሰላም ለዓለም"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text IS NOT NULL").limit(100)
+    mixed = " ".join(docs.where("lang = 'en'").first()["text"].split()[:30]) + " " + " ".join(docs.where("lang = 'de'").first()["text"].split()[:30])
+    texts = [*noise, *foreign, mixed]
+    planted = spark.createDataFrame([(10**6 + i, t, None, "src0", len(t)) for i, t in enumerate(texts)], docs.schema)
+    both = staged(docs.unionByName(planted), "docs")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, both, sf_dir).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()} | {10**6 + len(texts) - 1}
+
+
 def test_one_document_of_each_group_stays(stages):
     rows = [(r["doc_id"], r["text"]) for r in stages[1].collect()]
     sets = []

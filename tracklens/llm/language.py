@@ -6,10 +6,12 @@ Predict: a word's script narrows the languages to those that use it; each gets t
 log-likelihood by a back-off n-gram model, less the best one's and floored; Viterbi with a penalty
 for switching labels every word; runs of a label are spans.  The document's language has most
 letters; the score is that share times the odds of it against the
-runner-up over its own spans.
+runner-up over its own spans, and falls to 0 where the language holds few of the letters it got: it
+holds a word in a script it uses whose log-likelihood a letter is above the mean of that of its own
+words and that of its letters at random.
 
 Null text, or text without letters, is ``und`` with score 0 and no spans; so is every text if
-there is nothing to learn from.  Words in a script that no language has may be of any language.
+there is nothing to learn from.  Words in a script that no language has may be of any language, and none holds them.
 Equal letter counts go to the smaller code.  Only ``doc_id``, ``text`` and (to learn) ``lang`` are read.
 """
 
@@ -82,6 +84,7 @@ class Model:
             else:
                 context = by.get(g[:-1], np.zeros(n_langs))
                 self.score[g] = np.where((v > 0) & (context > 0), np.log(np.maximum(v, 1e-9) / np.maximum(context, 1)), self.score.get(g[1:], self.none) + BACK_OFF)
+        self.least = self.calibrated(by, ones)
 
         # the grams as sorted keys of 16 bits a letter, and their rows, for many words at once
         alphabet = sorted({c for g in self.score for c in g})[:65_000]
@@ -98,6 +101,15 @@ class Model:
         self.may = np.array([*(self.scripts[n] for n in names), np.ones(n_langs, bool)])
         self.script_row = {n: i for i, n in enumerate(names)}
 
+    def calibrated(self, by: dict[str, np.ndarray], ones: np.ndarray) -> np.ndarray:
+        """The log-likelihood a letter above which a language holds a word: half-way from its own words to its letters at random."""
+        zero = np.zeros(len(self.langs))
+        # the longest gram that ends at each place of the sample's words
+        places = [g for g in by if len(g) == ORDER or 1 < len(g) and g[0] == " "]
+        own = sum((by[g] * self.score[g] for g in places), zero) / np.maximum(sum((by[g] for g in places), zero), 1)
+        chance = sum((v / ones * self.score[g] for g, v in by.items() if len(g) == 1), zero) + 2 * BACK_OFF
+        return (own + chance) / 2
+
     def __getstate__(self) -> dict:
         """Tasks need the arrays only."""
         return self.__dict__ | {"score": {}}
@@ -144,10 +156,11 @@ class Model:
         first = np.flatnonzero(blank[:-1])
         return np.add.reduceat(out, first, axis=0)
 
-    def words(self, tokens: list[str], floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's scores (0 for the best language, none below ``floor``) and its letters."""
+    def words(self, tokens: list[str], floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each token's scores (0 for the best language, none below ``floor``), its letters, and how many of them each language holds."""
         found = [LETTERS.findall(t) for t in tokens]
         scores, letters = np.zeros((len(tokens), len(self.langs))), np.array([sum(len(r) if r.isalpha() else sum(map(str.isalpha, r)) for r in f) for f in found], np.int64)
+        held = np.zeros((len(tokens), len(self.langs)), np.int64)
         number: dict[str, int] = {}
         for f in found:
             for r in f:
@@ -156,10 +169,15 @@ class Model:
             runs = list(number)
             s = self.of(runs)
             rows = [self.script_row.get(script(r[0]), -1) for r in runs]
+            size = np.array([len(r) for r in runs])[:, None]
+            known = np.array(rows)[:, None] >= 0
+            holds = np.where(known & self.may[rows] & (s >= self.least * (size + 1)), size, 0)  # the blank after a word counts
             s = np.where(self.may[rows], s, s.max(axis=1, keepdims=True) + floor)
-            np.add.at(scores, np.repeat(np.arange(len(tokens)), [len(f) for f in found]), s[[number[r] for f in found for r in f]])
+            of, which = np.repeat(np.arange(len(tokens)), [len(f) for f in found]), [number[r] for f in found for r in f]
+            np.add.at(scores, of, s[which])
+            np.add.at(held, of, holds[which])
             scores = np.maximum(scores - scores.max(axis=1, keepdims=True), floor)
-        return scores, letters
+        return scores, letters, held
 
 
 def grams(texts_by_lang) -> Counter:
@@ -204,6 +222,11 @@ def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
     return out
 
 
+def trust(held: float) -> float:
+    """What a score counts if a language holds this share of the letters given to it: all from a half on, nothing up to a quarter."""
+    return min(1.0, max(0.0, 4 * held - 1))
+
+
 class Labeller:
     """Labels texts; keeps the scores of up to ``capacity`` words it has met, which changes speed only."""
 
@@ -214,12 +237,13 @@ class Labeller:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.scores, self.letters = np.zeros((1024, len(self.model.langs)), np.float32), np.zeros(1024, np.int64)
+        self.held = np.zeros((1024, len(self.model.langs)), np.int32)
 
     def learn(self, words: list[str]) -> None:
         n = len(self.known)
         while n + len(words) > len(self.scores):
-            self.scores, self.letters = np.concatenate([self.scores, np.zeros_like(self.scores)]), np.concatenate([self.letters, np.zeros_like(self.letters)])
-        self.scores[n : n + len(words)], self.letters[n : n + len(words)] = self.model.words(words, self.floor)
+            self.scores, self.letters, self.held = (np.concatenate([a, np.zeros_like(a)]) for a in (self.scores, self.letters, self.held))
+        self.scores[n : n + len(words)], self.letters[n : n + len(words)], self.held[n : n + len(words)] = self.model.words(words, self.floor)
         self.known.update(zip(words, range(n, n + len(words))))
 
     @staticmethod
@@ -249,6 +273,7 @@ class Labeller:
             total = s[path == best].sum(axis=0)  # over its own spans: what others say of theirs is no doubt about it
             margin = total[best] - np.delete(total, best).max() if len(langs) > 1 else 50.0
             score = share[best] / share.sum() / (1 + np.exp(-np.clip(margin, -50, 50)))
+            score *= trust(self.held[at[path == best], best].sum() / share[best])
             change = np.flatnonzero(np.diff(path)) + 1
             if not len(change):
                 spans = [(0, len(text), langs[best])]
