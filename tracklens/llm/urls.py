@@ -86,7 +86,7 @@ def log_model(counts: np.ndarray, least: int) -> np.ndarray:
 
 def fit(judged: DataFrame, least: int = 3) -> tuple[np.ndarray, float] | None:
     """The log-ratio of each n-gram and the threshold, from ``judged`` (url, kind: 1 accepted, 0 rejected, fold)."""
-    small_batches(judged.sparkSession, 5000)
+    small_batches(judged.sparkSession)
     size = SIGNS**ORDER
 
     def count(batches):

@@ -322,7 +322,7 @@ def content(root: Node, blocks: list[tuple[Node, str]], template: set[int], vary
 
 def extract(pages: DataFrame, least: int = 5, constant: float = 0.9) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
     url = F.col("url").cast("string")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
