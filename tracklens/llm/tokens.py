@@ -20,9 +20,9 @@ _CROWDED = re.compile(r"\s ")
 #: A space after a character that is no white space (Python's set holds all that the library knows).
 _CUT = re.compile(r"(?<=[^\s]) ")
 #: A comma or stop after anything but a Latin letter, a digit or plain white space: it may be part of a run of signs.
-_RUN = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ɏ \n][.,]")
+_RUN = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-įı-ɏ \n][.,]")  # İ's lower case ends in a mark
 #: The same, where white space counts.
-_APART = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-ɏ][.,]")
+_APART = re.compile(r"[^A-Za-z0-9À-ÖØ-öø-įı-ɏ][.,]")
 #: Letters whose lower case or normal form might depend on more than themselves.
 _BEYOND = re.compile(r"[^\x00-įı-ɏ]")
 
@@ -31,10 +31,13 @@ class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids.
 
     ``drops_space``: the vocabulary ignores white space and case (else words carry the space before
-    them).  ``capacity``: pieces kept in each of two generations of the cache; it changes speed only.
+    them).  ``capacity``: about how many bytes each of two generations of the cache holds; pieces of
+    more than ``LONG`` characters are not kept.  Both change speed only.
     """
 
-    def __init__(self, path: str, drops_space: bool, capacity: int = 400_000):
+    LONG = 64
+
+    def __init__(self, path: str, drops_space: bool, capacity: int = 80 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -43,6 +46,7 @@ class Encoder:
         self.drops_space, self.capacity = drops_space, capacity
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
         # by id: whether the token ends a word (where white space is dropped) or begins one after a space
         mark = (lambda w: w.endswith("</w>")) if drops_space else (lambda w: w.startswith("Ġ"))
         vocab = self.tokenizer.get_vocab()
@@ -100,14 +104,20 @@ class Encoder:
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each whole text; a null text is empty."""
-        if len(self.known) > self.capacity:
-            self.old, self.known = self.known, {}
+        if self.held > self.capacity:
+            self.old, self.known, self.held = self.known, {}, 0
         known = self.known
         cut = [self.pieces(t) if t else [] for t in texts]
         if new := set().union(*cut).difference(known):
             self._learn(new)
         get = known.__getitem__
-        return [b"".join(map(get, p)) for p in cut]
+        out = [b"".join(map(get, p)) for p in cut]
+        for p in new:
+            if len(p) > self.LONG:
+                del known[p]
+            else:
+                self.held += 190 + 2 * len(p)  # two objects, their place in the dictionary, and what they hold
+        return out
 
 
 def encoder(path: str, drops_space: bool) -> Encoder:
