@@ -4,6 +4,7 @@ import base64
 import gzip
 import hashlib
 import io
+from collections import Counter
 import os
 from itertools import product
 
@@ -184,36 +185,33 @@ def test_neighbours_equal_brute_force_when_small(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=8).astype(np.float32).tolist(), 1, "b") for i in range(300)]
     rows += [(300 + i, rows[7][1], 1, "b") for i in range(60)]  # copies of one vector
-    rows += [(400, None, 1, "b"), (420, [0.0] * 8, 1, "b"), (440, [None] + [1.0] * 7, 1, "b"), (460, [float("nan")] + [1.0] * 7, 1, "b"), (480, [float("inf")] + [1.0] * 7, 1, "b"), (500, [1.0, 2.0], 1, "b"), (520, [], 1, "b"), (None, rows[0][1], 1, "b")]
-    for kind in ("float", "double"):
-        got: dict = {}
-        for r in neighbours.search(vectors(spark, rows, kind), block=100, passes=3, rounds=4).collect():
-            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-        x = np.array([r[1] for r in rows[:360]], np.float64)
-        assert set(got) == set(range(0, 360, 20))
-        hits = 0
-        for q, found in got.items():
-            found.sort()
-            s = x @ x[q]
-            want = sorted((-s[i], i) for i in range(360) if i != q)[:20]
-            assert [f[0] for f in found] == list(range(1, 21)) and q not in [f[1] for f in found]
-            assert all(f[2] == pytest.approx(s[f[1]], abs=1e-12) for f in found)
-            assert found == sorted(found, key=lambda f: (-f[2], f[1]))
-            hits += len({f[1] for f in found} & {i for _, i in want})
-        assert hits >= 0.97 * 20 * len(got)
+    rows += [(500, [1.0, 2.0], 1, "b"), (501, [0.5] * 11, 1, "b"), (7, [3.0] * 8, 1, "b"), (20, [2.0] * 8, 1, "b"), (40, rows[40][1], 1, "b")]  # short, long, ids that repeat
+    usable = [(r[0], np.pad(np.array(r[1]), (0, 11 - len(r[1])))) for r in rows]
+    rows += [(400, None, 1, "b"), (420, [0.0] * 8, 1, "b"), (440, [None] + [1.0] * 7, 1, "b"), (460, [float("nan")] + [1.0] * 7, 1, "b"), (480, [float("inf")] + [1.0] * 7, 1, "b"), (520, [], 1, "b"), (None, rows[0][1], 1, "b")]
+    found = neighbours.search(vectors(spark, rows, "double"), block=100, passes=3).collect()
+    x = np.stack([v for _, v in usable])
+    want = Counter()
+    for q, (name, v) in enumerate(usable):
+        if name % 20 == 0:
+            s = x @ v
+            want.update((name, k + 1, i, round(-t, 9)) for k, (t, i) in enumerate(sorted((-s[j], usable[j][0]) for j in range(len(usable)) if j != q)[:20]))
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found)
+    assert got.total() == want.total() and {k[0] for k in got} == {k[0] for k in want}
+    assert (got & want).total() >= 0.97 * want.total()
 
 
 def test_neighbours_recall(spark):
-    e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    assert neighbours.recall(e, neighbours.search(e)) >= 0.95
-    assert neighbours.recall(e, neighbours.search(e, block=64, passes=2, rounds=3)) >= 0.9  # graph and search carry most
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")  # 31 blocks
+    seeds, found = (neighbours.search(e, block=64, **how) for how in ({"descents": 0, "rounds": 0}, {}))
+    assert neighbours.recall(e, seeds) < 0.75  # so it is the graph that finds the rest
+    assert neighbours.recall(e, found) >= 0.95
 
 
 def test_neighbours_of_few(spark):
     assert neighbours.search(vectors(spark, [])).count() == 0
     assert neighbours.search(vectors(spark, [(0, [1.0, 0.0], 1, "b")])).count() == 0
     got = neighbours.search(vectors(spark, [(0, [1.0, 0.0], 1, "b"), (1, [1.0, 0.0], 1, "b"), (2, [0.0, 1.0], 1, "b"), (2, [0.0, 1.0], 1, "b")])).orderBy("rank").collect()
-    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1, 1.0), (0, 2, 2, 0.0)]
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 1, 1.0), (0, 2, 2, 0.0), (0, 3, 2, 0.0)]
 
 
 # ---- main text

@@ -376,7 +376,7 @@ def described(nodes: DataFrame, kind: type, k: int, passes: int, block: int, des
 
 def search(
     table: DataFrame, top: int = 20, every: int = 20, k: int = 32, passes: int = 4, block: int = 512, descents: int = 8, settled: float = 0.15,
-    rounds: int = 16, expand: int = 80, beam: int = 400, vector: str = "embedding",
+    rounds: int = 16, expand: int = 100, beam: int = 500, vector: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest rows of each row whose vec_id is divisible by ``every``."""
     spark = table.sparkSession
@@ -384,7 +384,7 @@ def search(
     rows, nodes, kind = prepared(table, vector, top)
     n = nodes.count()
     graph = described(nodes, kind, k, passes, block, descents, settled, k // 2, k // 2)
-    near = staged(adjacency(graph.drop("news"), k, k // 4), "near")
+    near = staged(adjacency(graph.drop("news"), k, k // 2), "near")
     queries = rows.where(F.col("vec_id") % every == 0).join(nodes.select("node", "raw"), "raw").select(F.col("vec_id").alias("query_id"), "node")
     queries = staged(queries, "queries")
     asked = queries.select("node").distinct()
