@@ -248,6 +248,24 @@ def test_names_do_not_drop_articles():
         assert main(f"<article><p>the article</p></article>{furniture}") == "the article" == main(f"{furniture}<main><p>the article</p></main>")
 
 
+def test_elements_that_look_like_others():
+    assert main("<article><p>A</p><video-player></video-player><p>B</p></article>") == "A\nB"
+    assert main("<article><p>A <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> b <math-inline>E</math-inline> c</p></article>") == "A x=1 b E c"
+    assert main("<form id='aspnetForm'><article>all of it</article><button>go</button></form>") == "all of it"
+    assert main("<article><section id='related-work'><p>r</p></section><p class='social-history'>s</p><section class='share-prices'>p</section></article>") == "r\ns\np"
+    assert main("<article><p>a <b>b <i>c</b> d</i> e</p><p>f <b>g</p> h</b> i</article>") == "a b c d e\nf g\nh i"
+
+
+def test_trees_of_any_depth_and_width_align():
+    deep = "<div><p>t</p>" * 3000 + "deep" + "</div>" * 3000
+    wide = "".join(f"<h2>{i}</h2><p>{i}</p>" for i in range(100))  # 200 runs: each a slot of its own
+    very_wide = "".join(f"<h2>{i}</h2><p>{i}</p>" for i in range(2000))
+    for html, n in ((deep, 6001), (wide, 201), (very_wide, 3)):
+        tree = wrapper.slots(wrapper.parse(html)[0])
+        assert wrapper.load(wrapper.dump(tree)) == tree if html != deep else wrapper.dump(wrapper.load(wrapper.dump(tree))) == wrapper.dump(tree)
+        assert wrapper.align(tree, wrapper.load(wrapper.dump(tree))) == {i: i for i in range(n)}
+
+
 def test_alignment_is_best():
     def brute(a, b):
         if a[0] != b[0]:

@@ -15,6 +15,9 @@
    where the slots inside vary over the host.  Where a page has an ``article`` or ``main`` element, only what is
    inside counts, and its constant slots stay if all of them are constant.
 
+Of an element with more than 500 runs of children those of one name are one slot, as all pairs of runs are
+tried.  Custom elements are blocks, but inline in paragraphs and headings; formulas are inline text.
+
 A host with fewer than ``least`` different pages has no template.  Null html is empty and gives "";
 null page_ids are extracted (but are no pivots); a null url is a host of its own ("").  Repeated
 rows are each extracted; an empty table gives no rows; other columns are not read.
@@ -36,10 +39,12 @@ from .urls import host_of
 
 # HTML's own sets of elements, and names of page furniture.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|textarea|select|svg|math|object|canvas|video|audio"
+RAW = "script|style|noscript|template|iframe|textarea|select|svg|object|canvas|video|audio|annotation|annotation-xml"
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var br wbr img".split())
+INLINE |= set("math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+PHRASES = set("p h1 h2 h3 h4 h5 h6".split())
 FENCE = set("table ul ol dl article section div main body".split())
 FURNITURE_TAGS = set("head title nav footer aside form button dialog menu fieldset".split())
 FURNITURE_NAMES = set(
@@ -54,20 +59,20 @@ STATES = set("has have no not is with without show hide hidden open closed enabl
 BODIES = {"html", "body", "main", "article"}
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + RAW + r")\b[^>]*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
+    r"<!--.*?(?:-->|\Z)|<(" + RAW + r")(?=[\s/>])[^>]*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACE = re.compile(r"\s+")
-DEPTH = 60
+#: Children of an element that are matched one by one (as runs of one name); of more, those of one name are one slot.
+RUNS = 500
 
 
 class Node:
-    __slots__ = ("body", "children", "furniture", "hint", "holds", "main", "marked", "name", "parent", "slot", "tag", "text", "depth")
+    __slots__ = ("body", "children", "furniture", "hint", "holds", "main", "marked", "name", "parent", "slot", "tag", "text")
 
     def __init__(self, tag: str, attrs: str, parent: "Node | None"):
         self.tag, self.parent, self.children, self.text, self.slot = tag, parent, [], [], -1
-        self.depth = parent.depth + 1 if parent else 0
         self.furniture, self.hint, self.main = False, None, bool(parent and parent.main)
         found = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(attrs)} if attrs and "=" in attrs else {}
         words = f"{found.get('class', '')} {found.get('id', '')}".split()
@@ -77,10 +82,10 @@ class Node:
         self.holds = int(self.body and tag not in ("html", "body"))
         if self.holds:
             self.main = True
-        # by tag or role; by a whole name; by a part of a name, which alignment can overrule
+        # by tag, role or a whole name; by a part of a name, which alignment can overrule
         self.marked = 0
         if tag in FURNITURE_TAGS or tag not in BODIES and role in FURNITURE_NAMES or not self.main and tag == "header":
-            self.marked = 3
+            self.marked = 2
         elif not self.body and words:
             names = FURNITURE_NAMES if self.main else FURNITURE_NAMES | HEADER_NAMES
             self.marked = 2 if names.intersection(words) else int(any(map(hints_at_furniture, words)))
@@ -96,13 +101,13 @@ def hints_at_furniture(name: str) -> bool:
 
 
 def settle(nodes: list[Node]) -> None:
-    """Mark furniture (``nodes``: parents first).  A name does not mark an element that holds all of the page's main elements."""
+    """Mark furniture (``nodes``: parents first).  An element that holds all of the page's main elements is none."""
     for n in reversed(nodes):
         if n.parent:
             n.parent.holds += n.holds
     all_ = nodes[0].holds
     for n in nodes[1:]:
-        marked = n.marked if n.marked == 3 or not (all_ and n.holds == all_) else 0
+        marked = 0 if all_ and n.holds == all_ else n.marked
         n.furniture = n.parent.furniture or marked >= 2
         n.hint = n if marked == 1 else n.parent.hint
 
@@ -144,11 +149,10 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
         tag = tag.lower()
         if m[2] or m[5]:
             if any(t == tag for t, _ in reversed(stack)):
-                if tag not in INLINE:
-                    flush()
-                while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+                i = next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag)
+                if stack[i][1] is not stack[i - 1][1] or stack[-1][1] is not stack[i][1]:
+                    flush()  # a block ends
+                del stack[i:]
             continue
         if tag in VOID:
             if tag == "br":
@@ -157,7 +161,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
                 close({"p"}, FENCE)
                 flush()
             continue
-        if tag in INLINE:
+        if tag in INLINE or "-" in tag and stack[-1][1].tag in PHRASES:
             node = stack[-1][1]
             stack.append((tag, node))
             continue
@@ -169,8 +173,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
         parent = stack[-1][1]
         node = Node(tag, m[4] or m[7] or "", parent)
         nodes.append(node)
-        if node.depth <= DEPTH:
-            parent.children.append(node)
+        parent.children.append(node)
         stack.append((tag, node))
     if at < len(html):
         held.append(html[at:])
@@ -181,14 +184,13 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
 
 def slots(root: Node) -> list:
     """The tree as [name, digest of own text, is main, children], runs of one name being one slot; nodes get their slot's number."""
-    number = 0
-
-    def fold(nodes: list[Node], name: str):
-        nonlocal number
-        own = number
-        number += 1
+    number, whole = 0, []
+    todo: list[tuple[list[Node], str, list]] = [([root], "#root", whole)]
+    while todo:
+        nodes, name, siblings = todo.pop()
         for n in nodes:
-            n.slot = own
+            n.slot = number
+        number += 1
         text = [t for n in nodes for t in n.text]
         kids = [k for n in nodes for k in n.children]
         runs: list[tuple[str, list[Node]]] = []
@@ -197,15 +199,33 @@ def slots(root: Node) -> list:
                 runs[-1][1].append(k)
             else:
                 runs.append((k.name, [k]))
-        for short in (False, True):  # many runs: one for each name, then one for each tag
-            if len(runs) > 40:
+        for short in (False, True):  # too many to match: one for each name, then one for each tag
+            if len(runs) > RUNS:
                 by: dict[str, list[Node]] = {}
                 for k in kids:
                     by.setdefault(k.tag if short else k.name, []).append(k)
                 runs = list(by.items())
-        return [name, _digest("\n".join(text)) if text else 0, int(nodes[0].main), [fold(ns, n) for n, ns in runs]]
+        siblings.append([name, _digest("\n".join(text)) if text else 0, int(nodes[0].main), []])
+        todo += [(ns, n, siblings[-1][3]) for n, ns in reversed(runs)]
+    return whole[0]
+
+
+def dump(tree: list) -> str:
+    """The tree as flat JSON, whatever its depth: of each slot its name, digest, main and number of children."""
+    return json.dumps([[*t[:3], len(t[3])] for t in walk(tree)], separators=(",", ":"))
+
 
-    return fold([root], "#root")
+def load(raw: str) -> list:
+    whole: list = []
+    open_: list[tuple[list, int]] = [(whole, 1)]
+    for name, digest, main, n in json.loads(raw):
+        while not open_[-1][1]:
+            open_.pop()
+        into, left = open_.pop()
+        open_.append((into, left - 1))
+        into.append([name, digest, main, []])
+        open_.append((into[-1][3], n))
+    return whole[0]
 
 
 def _digest(text: str) -> int:
@@ -260,18 +280,15 @@ def align(a: list, b: list) -> dict[int, int]:
     na, nb = number(a), number(b)
     best: dict[tuple[int, int], tuple[int, list]] = {}
 
-    def match(x: list, y: list) -> int:
-        """Matching nodes of two trees whose roots match."""
-        key = (id(x), id(y))
-        if key in best:
-            return best[key][0]
+    def matched(x: list, y: list) -> None:
+        """The number of matching nodes of two trees whose roots match, and which children they are; those of their children are known."""
         xs, ys = x[3], y[3]
         m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
         for i, c in enumerate(xs, 1):
             row, up = m[i], m[i - 1]
             for j, d in enumerate(ys, 1):
                 v = up[j] if up[j] >= row[j - 1] else row[j - 1]
-                if c[0] == d[0] and (w := up[j - 1] + match(c, d)) > v:
+                if c[0] == d[0] and (w := up[j - 1] + best[id(c), id(d)][0]) > v:
                     v = w
                 row[j] = v
         i, j, pairs = len(xs), len(ys), []
@@ -283,8 +300,19 @@ def align(a: list, b: list) -> dict[int, int]:
             else:
                 i, j = i - 1, j - 1
                 pairs.append((xs[i], ys[j]))
-        best[key] = (m[-1][-1] + 1, pairs)
-        return best[key][0]
+        best[id(x), id(y)] = (m[-1][-1] + 1, pairs)
+
+    def match(x: list, y: list) -> None:
+        order, todo = [], [(x, y)]  # pairs whose ancestors match too; none comes twice, as a slot has one parent
+        while todo:
+            c, d = todo.pop()
+            order.append((c, d))
+            by: dict[str, list] = {}
+            for e in d[3]:
+                by.setdefault(e[0], []).append(e)
+            todo += [(k, e) for k in c[3] for e in by.get(k[0], ())]
+        for c, d in reversed(order):
+            matched(c, d)
 
     if a[0] != b[0]:
         return {}
@@ -329,7 +357,7 @@ def extract(pages: DataFrame, least: int = 5, constant: float = 0.9) -> DataFram
     def reduce(batches):
         for b in batches:
             trees = [slots(parse(h)[0]) for h in b.column(b.schema.get_field_index("html")).to_pylist()]
-            raw = [json.dumps(t, separators=(",", ":")) for t in trees]
+            raw = [dump(t) for t in trees]
             page, kind, size = [_digest(r) for r in raw], [layout(t) for t in trees], [sum(1 for _ in walk(t)) for t in trees]
             columns = [*b.columns, pa.array(page, pa.int64()), pa.array(kind, pa.int64()), pa.array(size, pa.int32()), pa.array(raw)]
             yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "page", "kind", "size", "tree"])
@@ -352,8 +380,8 @@ def extract(pages: DataFrame, least: int = 5, constant: float = 0.9) -> DataFram
             rows = []
             for host, group, tree, raw in zip(*(b.column(c).to_pylist() for c in ("host", "group", "tree", "pivot"))):
                 if raw != pivot[0]:
-                    pivot = (raw, json.loads(raw))
-                own = json.loads(tree)
+                    pivot = (raw, load(raw))
+                own = load(tree)
                 rows += [(host, group, slot, t[1]) for slot, t in zip(located(own, pivot[1]), walk(own)) if t[1]]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["host", "group", "slot", "words"])
@@ -375,7 +403,7 @@ def extract(pages: DataFrame, least: int = 5, constant: float = 0.9) -> DataFram
                 tree, gone, varying = slots(root), set(), set()
                 if numbers:
                     if raw != pivot[0]:
-                        pivot = (raw, json.loads(raw))
+                        pivot = (raw, load(raw))
                     known = dict(zip(numbers, texts))
                     for i, (slot, t) in enumerate(zip(located(tree, pivot[1]), walk(tree))):
                         usual = known.get(slot)
