@@ -355,7 +355,7 @@ def _block_of(n: int, per: int) -> Column:
     return F.pmod(F.xxhash64("home"), F.lit(max(1, -(-n // per))))
 
 
-def described(nodes: DataFrame, kind: type, k: int, passes: int, block: int, descents: int, settled: float, own: int, back: int, per: int = 16_384) -> DataFrame:
+def described(nodes: DataFrame, kind: type, k: int, passes: int, block: int, descents: int, settled: float, own: int, back: int, per: int = 32_768) -> DataFrame:
     """The neighbour graph (node, home, ids, sims) by NN-descent."""
     n = nodes.count()
     graph = seeded(nodes, kind, k, passes, block)
@@ -376,7 +376,7 @@ def described(nodes: DataFrame, kind: type, k: int, passes: int, block: int, des
 
 def search(
     table: DataFrame, top: int = 20, every: int = 20, k: int = 32, passes: int = 4, block: int = 512, descents: int = 8, settled: float = 0.15,
-    rounds: int = 16, expand: int = 100, beam: int = 500, vector: str = "embedding",
+    rounds: int = 12, expand: int = 200, beam: int = 500, vector: str = "embedding",
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest rows of each row whose vec_id is divisible by ``every``."""
     spark = table.sparkSession
@@ -388,7 +388,7 @@ def search(
     queries = rows.where(F.col("vec_id") % every == 0).join(nodes.select("node", "raw"), "raw").select(F.col("vec_id").alias("query_id"), "node")
     queries = staged(queries, "queries")
     asked = queries.select("node").distinct()
-    state = asked.join(graph, "node").select(_block_of(max(1, n // every), 1024).alias("block"), "node", "home", "ids", "sims", F.array().cast("array<bigint>").alias("done"), F.lit(1).alias("fresh"))
+    state = asked.join(graph, "node").select(_block_of(max(1, n // every), 1536).alias("block"), "node", "home", "ids", "sims", F.array().cast("array<bigint>").alias("done"), F.lit(1).alias("fresh"))
     state = staged(state, "state")
     discard(graph)
     for _ in range(rounds):
