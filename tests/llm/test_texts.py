@@ -59,6 +59,21 @@ def test_viterbi_is_best(rows):
     assert cost(language.viterbi(s, 2.0)) == pytest.approx(max(cost(p) for p in every))
 
 
+def test_scripts_without_blanks_are_cut_into_windows():
+    zh, ja = "今天的天气非常好我们一起去公园里散步吧那里有很多美丽的花和树木孩子们在草地上玩耍", "今日はとても天気がいいので公園へ散歩に行きましょう子供たちは芝生で遊んでいます"
+    th, en = "วันนี้อากาศดีมากเราไปเดินเล่นที่สวนสาธารณะกันเถอะเด็กๆกำลังเล่นอยู่บนสนามหญ้า", "the weather is very nice today and we all go for a walk in the park "
+    model = language.Model(dict(language.grams([("zh", zh), ("ja", ja), ("th", th), ("en", en)])))
+    label = language.Labeller(model, 8.0, -6.0).label
+    for parts in ((("zh", zh * 5), ("ja", ja * 6)), (("th", th * 2), ("zh", zh * 2)), (("en", en * 2), ("zh", zh * 2), ("en", en))):
+        [(_, _, spans)] = label(["".join(t for _, t in parts)])
+        ends = np.cumsum([len(t) for _, t in parts])
+        assert [lang for *_, lang in spans] == [lang for lang, _ in parts]
+        assert all(abs(e - end) <= language.WINDOW for (_, e, _), end in zip(spans, ends))  # to a window
+    [mixed] = label(["кот" + en[:9] + "の"])  # no language uses all scripts of a word: any may hold it, none does
+    assert mixed[1] < 0.9
+    assert language.Model.key("abcd") != language.Model.key("bcd") and len({language.Model.key(a + b) for a in "abcdefgh" for b in "abcdefgh"}) == 64
+
+
 def test_held_out_accuracy_and_edges(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language.languages(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()

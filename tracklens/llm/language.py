@@ -10,6 +10,10 @@ runner-up over its own spans, and falls to 0 where the language holds few of the
 holds a word in a script it uses whose log-likelihood a letter is above the mean of that of its own
 words and that of its letters at random.
 
+Text of scripts that are written without blanks is cut into windows of ``WINDOW`` letters, which stand for
+words, in learning and labelling alike.  A word of several scripts narrows the languages to those that use
+them all.  More than MOST_LANGUAGES languages are an error: the model holds a number for each language and gram.
+
 Null text, or text without letters, is ``und`` with score 0 and no spans; so is every text if
 there is nothing to learn from.  Words in a script that no language has may be of any language, and none holds them.
 Equal letter counts go to the smaller code.  Only ``doc_id``, ``text`` and (to learn) ``lang`` are read.
@@ -39,8 +43,20 @@ ORDER = 4
 MOST_LANGUAGES = 10_000
 BACK_OFF = np.log(0.4)
 LETTERS = re.compile(r"[^\W\d_]+")
-WORD = re.compile(r"\S+")
-MASKS = np.array([(1 << 16 * n) - 1 for n in range(ORDER + 1)], np.uint64)
+WINDOW = 6
+# Letters of scripts written without blanks between words (kana and Han; Thai, Lao, Burmese, Khmer).
+EAST, SOUTH = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff", "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff"
+SPACED = re.compile(r"\S+")
+DENSE = re.compile(f"[{EAST}{SOUTH}]")
+WORD = re.compile(rf"[{EAST}]{{1,{WINDOW}}}|[{SOUTH}]{{1,{WINDOW}}}|[^\s{EAST}{SOUTH}]+")
+#: Multipliers of the letters of a gram, from its last, and of its length, which make its key.
+PARTS = np.random.default_rng(20240707).integers(0, 1 << 63, ORDER, np.uint64) * np.uint64(2) + np.uint64(1)
+LENGTH = np.uint64(0x9E3779B97F4A7C15)
+
+
+def words_of(text: str) -> list[str]:
+    """Words between blanks, windows of letters where a script has no blanks."""
+    return text.split() if text.isascii() or not DENSE.search(text) else WORD.findall(text)
 
 
 def script(ch: str) -> str:
@@ -48,6 +64,11 @@ def script(ch: str) -> str:
     return next((n for n, a, b in SCRIPTS if a <= c <= b), "other")
 
 
+def scripts_of(run: str) -> tuple[str, ...]:
+    """The scripts of a run of letters."""
+    return ("latin",) if run.isascii() else tuple(sorted({script(c) for c in run}))
+
+
 def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -86,20 +107,15 @@ class Model:
                 self.score[g] = np.where((v > 0) & (context > 0), np.log(np.maximum(v, 1e-9) / np.maximum(context, 1)), self.score.get(g[1:], self.none) + BACK_OFF)
         self.least = self.calibrated(by, ones)
 
-        # the grams as sorted keys of 16 bits a letter, and their rows, for many words at once
-        alphabet = sorted({c for g in self.score for c in g})[:65_000]
-        self.letter = {c: i for i, c in enumerate(alphabet, 1)}
-        known = [g for g in self.score if all(c in self.letter for c in g)]
+        # the grams as sorted keys, and their rows, for many words at once
+        known = list(self.score)
         keys = np.array([self.key(g) for g in known], np.uint64)
         order = np.argsort(keys)
         self.keys = keys[order]
         self.rows = np.array([self.score[known[i]] for i in order]).reshape(len(known), n_langs)
-        points = np.array([ord(c) for c in alphabet], np.int64)
-        self.index = np.zeros(int(points.max(initial=0)) + 2, np.uint64)
-        self.index[points] = np.arange(1, len(alphabet) + 1)
         names = sorted(self.scripts)
         self.may = np.array([*(self.scripts[n] for n in names), np.ones(n_langs, bool)])
-        self.script_row = {n: i for i, n in enumerate(names)}
+        self.script_row = {(n,): i for i, n in enumerate(names)}
 
     def calibrated(self, by: dict[str, np.ndarray], ones: np.ndarray) -> np.ndarray:
         """The log-likelihood a letter above which a language holds a word: half-way from its own words to its letters at random."""
@@ -114,11 +130,21 @@ class Model:
         """Tasks need the arrays only."""
         return self.__dict__ | {"score": {}}
 
-    def key(self, gram: str) -> int:
-        out = 0
-        for c in gram:
-            out = out << 16 | self.letter[c]
-        return out
+    @staticmethod
+    def key(gram: str) -> int:
+        return (sum(ord(c) * int(m) for c, m in zip(reversed(gram), PARTS)) + len(gram) * int(LENGTH)) & (1 << 64) - 1
+
+    def row_of(self, run: str) -> int:
+        """The row of ``may`` with the languages that use all scripts of a run; -1 (any) if none does."""
+        names = scripts_of(run)
+        if names not in self.script_row:
+            rows = [self.script_row.get((n,), -1) for n in names]
+            both = np.logical_and.reduce(self.may[rows]) if -1 not in rows else np.zeros(len(self.langs), bool)
+            self.script_row[names] = -1
+            if both.any():
+                self.script_row[names] = len(self.may) - 1
+                self.may = np.concatenate([self.may[:-1], both[None], self.may[-1:]])
+        return self.script_row[names]
 
     def labeller(self, penalty: float, floor: float) -> "Labeller":
         """One for all tasks of a Python worker, so its words stay known."""
@@ -131,14 +157,15 @@ class Model:
             raise ValueError("a run of letters holds a blank")
         points = np.frombuffer((text + " ").encode("utf-32-le"), "<u4").astype(np.int64)
         blank = points == 32
-        sign = self.index[np.minimum(points, len(self.index) - 1)]
+        sign = points.astype(np.uint64)
         begin = np.maximum.accumulate(np.where(blank, np.arange(len(points)), 0))
         begin[1:] = np.where(blank[1:], begin[:-1], begin[1:])  # the blank after a word ends it
         at = np.arange(1, len(points))
         size = np.minimum(at - begin[1:] + 1, ORDER)
-        key = np.zeros(len(at), np.uint64)
-        for k in range(ORDER - 1, -1, -1):
-            key = key << np.uint64(16) | np.where(size > k, sign[np.maximum(at - k, 0)], np.uint64(0))
+        keys = [np.zeros(len(at), np.uint64)]  # of grams of 0, 1, ... letters that end at each place
+        for k in range(ORDER):
+            keys.append(keys[-1] + sign[np.maximum(at - k, 0)] * PARTS[k])
+        keys = np.stack(keys) + np.arange(ORDER + 1, dtype=np.uint64)[:, None] * LENGTH
         out = np.zeros((len(at), len(self.langs)))
         left = np.arange(len(at))
         for back in range(ORDER):
@@ -147,7 +174,7 @@ class Model:
             left, n = left[n >= 1], n[n >= 1]
             if not len(left):
                 break
-            own = key[left] & MASKS[n]
+            own = keys[n, left]
             place = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
             hit = self.keys[place] == own
             out[left[hit]] = self.rows[place[hit]] + back * BACK_OFF
@@ -168,7 +195,7 @@ class Model:
         if number and self.langs:
             runs = list(number)
             s = self.of(runs)
-            rows = [self.script_row.get(script(r[0]), -1) for r in runs]
+            rows = [self.row_of(r) for r in runs]
             size = np.array([len(r) for r in runs])[:, None]
             known = np.array(rows)[:, None] >= 0
             holds = np.where(known & self.may[rows] & (s >= self.least * (size + 1)), size, 0)  # the blank after a word counts
@@ -185,9 +212,12 @@ def grams(texts_by_lang) -> Counter:
     out: Counter = Counter()
     words: Counter = Counter()
     for lang, text in texts_by_lang:
-        words.update((lang, w) for w in LETTERS.findall(text))
+        words.update((lang, w) for t in words_of(text) for w in LETTERS.findall(t))
     for (lang, w), n in words.items():
-        out[lang, "\t" + script(w[0])] += n * len(w)
+        for c in w if not w.isascii() else ():
+            out[lang, "\t" + script(c)] += n
+        if w.isascii():
+            out[lang, "\tlatin"] += n * len(w)
         w = f" {w.lower()} "
         for i in range(len(w)):
             for k in range(1, ORDER + 1):
@@ -228,23 +258,27 @@ def trust(held: float) -> float:
 
 
 class Labeller:
-    """Labels texts; keeps the scores of up to ``capacity`` words it has met, which changes speed only."""
+    """Labels texts; keeps the scores of words of up to LONG letters it has met, about ``capacity`` bytes of them, which changes speed only."""
+
+    LONG = 64
 
-    def __init__(self, model: Model, penalty: float, floor: float, capacity: int = 250_000):
-        self.model, self.penalty, self.floor, self.capacity = model, penalty, floor, capacity
+    def __init__(self, model: Model, penalty: float, floor: float, capacity: int = 48 << 20):
+        self.model, self.penalty, self.floor, self.capacity = model, penalty, floor, capacity // (150 + 8 * len(model.langs))
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.n = 0
         self.scores, self.letters = np.zeros((1024, len(self.model.langs)), np.float32), np.zeros(1024, np.int64)
         self.held = np.zeros((1024, len(self.model.langs)), np.int32)
 
     def learn(self, words: list[str]) -> None:
-        n = len(self.known)
+        n = self.n
         while n + len(words) > len(self.scores):
             self.scores, self.letters, self.held = (np.concatenate([a, np.zeros_like(a)]) for a in (self.scores, self.letters, self.held))
         self.scores[n : n + len(words)], self.letters[n : n + len(words)], self.held[n : n + len(words)] = self.model.words(words, self.floor)
         self.known.update(zip(words, range(n, n + len(words))))
+        self.n += len(words)
 
     @staticmethod
     def plain(text: str) -> str:
@@ -254,11 +288,12 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """Of each text: language, score, spans (start, end, language) in code points."""
-        if len(self.known) > self.capacity:
+        if self.n > self.capacity:
             self.clear()
         plain = [self.plain(t) if t else "" for t in texts]
-        split = [t.split() for t in plain]
-        self.learn(list(set().union(*split).difference(self.known)))
+        split = [words_of(t) for t in plain]
+        new = list(set().union(*split).difference(self.known))
+        self.learn(new)
         get, langs, out = self.known.__getitem__, self.model.langs, []
         for text, words in zip(plain, split):
             at = np.fromiter(map(get, words), np.int64, len(words))
@@ -278,15 +313,18 @@ class Labeller:
             if not len(change):
                 spans = [(0, len(text), langs[best])]
             else:
-                begins = [m.start() for m in WORD.finditer(text)]
+                begins = [m.start() for m in (WORD if DENSE.search(text) else SPACED).finditer(text)]
                 edges = [0, *(begins[c] for c in change.tolist()), len(text)]
                 spans = [(a, b, langs[path[c]]) for a, b, c in zip(edges, edges[1:], [0, *change.tolist()])]
             out.append((langs[best], float(score), spans))
+        for w in new:
+            if len(w) > self.LONG:
+                del self.known[w]
         return out
 
 
-def fit(docs: DataFrame, per_lang: int = 2000) -> Model:
-    """Learn from documents that are not held out and have a language."""
+def fit(docs: DataFrame, per_lang: int = 2000, least: int = 2) -> Model:
+    """Learn from documents that are not held out and have a language: about ``per_lang`` of each, grams (but single letters) of ``least`` occurrences."""
     spark = docs.sparkSession
     small_batches(spark)
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
@@ -295,8 +333,8 @@ def fit(docs: DataFrame, per_lang: int = 2000) -> Model:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not labels:
         return Model({})
-    upto = F.create_map(*(F.lit(x) for r in labels for x in (r["lang"], per_lang * 1_000_000 // r["count"])))
-    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < upto[F.col("lang")]).select("lang", "text")
+    upto = F.create_map(*(F.lit(x) for r in labels for x in (r["lang"], min(1.0, per_lang / r["count"]))))
+    sample = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40) < upto[F.col("lang")]).select("lang", "text")
 
     def count(batches):
         n: Counter = Counter()
@@ -307,7 +345,7 @@ def fit(docs: DataFrame, per_lang: int = 2000) -> Model:
             part = items[lo : lo + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part]), pa.array([k[1] for k, _ in part]), pa.array([v for _, v in part], pa.int64())], ["lang", "gram", "n"])
 
-    found = sample.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1 or length(gram) = 1")
+    found = sample.mapInArrow(count, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(f"n >= {int(least)} or length(gram) = 1")
     return Model({(r[0], r[1]): r[2] for r in found.collect()})  # bounded by the sample
 
 
