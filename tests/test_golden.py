@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracklens.functions import text as T
 from tracklens.functions import timefmt
-from tracklens.functions.lexicon import build, loosened, word_edges
+from tracklens.functions.lexicon import Lexicon, build, loosened, word_edges, words_in
 from tracklens.operators import audit, intervals, merge, paragraphs, segment, speakers
 from tracklens.sources import readers, writers
 
@@ -90,6 +90,35 @@ def test_repairs(spark, lexicon):
     assert lexicon.key("女") != lexicon.key("奴") and loosened("zhang") == "zan"
 
 
+def test_word_edges_of_the_lexicon(spark, lexicon):
+    from dataclasses import replace
+
+    texts = ["才税管理的要点", "大型活动场所的税务登记义务", "缴纳所的税的问题"]
+    known = replace(lexicon, words=words_in(spark, texts))
+    assert {"场所", "登记", "义务"} <= known.words
+    fix = lambda t, terms: T.repaired(t, terms, known, known.edges(t))[0]
+    assert [fix(texts[0], ["财税管理"]), fix(texts[1], ["所得税"]), fix(texts[2], ["所得税"])] == ["财税管理的要点", texts[1], "缴纳所得税的问题"]
+    cut = Lexicon(words=frozenset(["ab", "abc", "cd", "de"]))
+    assert cut.edges("abcde") == ({0, 3}, {3, 5}) and cut.edges("") == (set(), {0}) and cut.edges("xy") == ({0, 1}, {1, 2})
+
+
+def test_leftmost_then_longest_place_is_repaired(lexicon):
+    fix = lambda t, terms: T.repaired(t, terms, lexicon)
+    assert fix("才税管理", ["财税", "财税管理", "税管"])[0] == "财税管理"
+    assert fix("才山管理", ["财税", "税管"]) == ("才山管理", []) and fix("才税管", ["税管", "财税"])[0] == "财税管"
+    assert fix("财税才税", ["财税", "菜税"]) == ("财税财税", [{"pos": 2, "from": "才税", "to": "财税"}])
+
+
+def test_polished_rows_keep_their_number(lexicon):
+    rows = ["旧帐和固定资产", "才税管理"]
+    fine = T.polished(rows, "旧账和固定资全\n财税管理", lexicon)
+    assert (fine["texts"], fine["refused"], fine["rejected"]) == (["旧账和固定资产", "财税管理"], False, 1)
+    merged = T.polished(rows, "旧账和固定资产财税管理", lexicon)
+    assert (merged["texts"], merged["refused"], merged["edits"]) == (rows, True, [])
+    back = T.polished(["财税管理"], "才税管理", lexicon, ["财税管理"])  # a proposal that undoes a term
+    assert back["texts"] == ["财税管理"] and back["edits"] == [{"row": 0, "pos": 0, "from": "才税管理", "to": "财税管理"}]
+
+
 def test_constrained(lexicon):
     c = T.constrained("旧帐和固定资产", "旧账和固定资全", lexicon)
     assert c["text"] == "旧账和固定资产" and c["rejected"] == 1

@@ -27,6 +27,11 @@ def test_chain(spark):
     cues = out["cues"].orderBy("cue_ord").collect()
     assert all(a["end"] <= b["start"] for a, b in zip(cues, cues[1:])) and "".join(c["text"] for c in cues) == "".join(texts)
     assert {r["action"] for r in out["first_hallucinations"].collect()} == {"retranscribe", "drop"}
+    assert out["glossary"].collect() == [(0, "账目", 2)] and out["edits"].count() == 0  # in both passes
+    alike = Lexicon({c: s for c, s in zip("账帐目木讲", ["zhang", "zhang", "mu", "mu", "jiang"])}, words=frozenset(["讲大"]))
+    chain = run(segs, rec, energy, patch, terms=["帐目", "奖大"], lexicon=alike, profile=Profile("m", passes=2, phonetic=True), leads=["第二"], vectors=spark.createDataFrame([("r", 0, [1.0, 0.0]), ("r", 1, [0.0, 1.0])], "recording_id string, seg_ord int, embedding array<double>"))
+    assert [(r["from"], r["to"], r["t"]) for r in chain["edits"].collect()] == [("账目", "帐目", 100)]
+    assert [r["speaker"] for r in chain["rows"].orderBy("start").collect()][:2] == ["S1", "S2"]
     fast = run(segs, rec, energy, patch, profile=Profile("fast", patch=False), lexicon=Lexicon())
     assert fast["rows"].count() == 2
     vectors = spark.createDataFrame([("r", 0, [1.0, 0.0]), ("r", 1, [0.0, 1.0]), ("r", 2, [1.0, 0.1])], "recording_id string, seg_ord int, embedding array<double>")

@@ -2,13 +2,14 @@
 
 Readings: ICU's Han-to-Latin transliteration without tones, ü kept as v.  It knows one reading of a
 character and little context, so phonetic results come near those of a pronunciation dictionary and
-do not equal them.  Word edges: ICU's dictionary-based break iterator, run on the driver's JVM for
-small glossaries and texts, else approximated from the tables (see ``Lexicon.edges``).
+do not equal them.  Word edges: ICU's dictionary-based break iterator runs on the driver's JVM only,
+so ``words_in`` collects the words it finds in some texts, and tasks cut by them (``Lexicon.edges``).
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
@@ -20,10 +21,11 @@ LOOSE_FINALS = (("ang", "an"), ("eng", "en"), ("ing", "in"))
 
 @dataclass
 class Lexicon:
-    """reading: syllable by character; simple: simplified form of traditional characters."""
+    """reading: syllable by character; simple: simplified form of traditional characters; words: those of several characters that edges go by."""
 
     reading: dict[str, str] = field(default_factory=dict)
     simple: dict[str, str] = field(default_factory=dict)
+    words: frozenset[str] = frozenset()
 
     def key(self, text: str, loose: bool = False) -> tuple[str, ...]:
         """The toneless syllables of the characters that have one."""
@@ -34,6 +36,21 @@ class Lexicon:
         return text.translate({ord(k): v for k, v in self.simple.items()}) if self.simple else text
 
 
+    def edges(self, text: str) -> tuple[set[int], set[int]]:
+        """Where words begin and end in the cut of ``text`` into fewest words; other characters are words of their own."""
+        longest = max(map(len, self.words), default=1)
+        # best[i]: the fewest words from i on, and the end of the first, the longer on a tie
+        best: list[tuple[int, int]] = [(0, len(text))] * (len(text) + 1)
+        for i in range(len(text) - 1, -1, -1):
+            best[i] = min((best[e][0] + 1, -e) for e in range(i + 1, min(len(text), i + longest) + 1) if e == i + 1 or text[i:e] in self.words)
+            best[i] = (best[i][0], -best[i][1])
+        starts, at = set(), 0
+        while at < len(text):
+            starts.add(at)
+            at = best[at][1]
+        return starts, (starts - {0}) | {len(text)}
+
+
 def loosened(syllable: str) -> str:
     for a, b in LOOSE_INITIALS:
         if syllable.startswith(a):
@@ -75,3 +92,12 @@ def word_edges(spark: SparkSession, text: str) -> tuple[set[int], set[int]]:
         ends.add(place[end])
         at = end
     return starts, ends
+
+
+def words_in(spark: SparkSession, texts: Iterable[str]) -> frozenset[str]:
+    """The words of several characters that ICU finds in some texts, on the driver."""
+    out: set[str] = set()
+    for t in texts:
+        starts, ends = word_edges(spark, t)
+        out.update(w for a, b in zip(sorted(starts), sorted(ends)) if len(w := t[a:b]) > 1 and w.isalpha())
+    return frozenset(out)

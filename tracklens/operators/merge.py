@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,19 +56,21 @@ def deduplicated(rows: list[dict], look_back: int = 6, slack: int = 300) -> list
     a row goes only as a whole: if all but a few characters, in number and in share, are shared
     blocks of 10.  Rows of less than 3 characters go; a row whose text has changed loses its words.
     """
-    kept: list[dict] = []
-    for row in sorted(rows, key=lambda r: (r["start"], r["start"] - r["end"])):
-        text = row["text"]
-        for seen in kept[: -look_back - 1 : -1]:
-            if seen["end"] > row["start"] + slack:
-                text = without_shared(seen["text"], text, 8)
-            elif len(rest := without_shared(seen["text"], text, 10)) < min(6, 0.3 * len(text)):
-                text = ""
-            if len(text.strip()) < 3:
-                break
-        if len(text := text.strip()) >= 3:
+
+    def said_anew(row: dict, text: str, seen: dict) -> str:
+        """What of ``text`` a kept row has not said."""
+        overlaps = seen["end"] > row["start"] + slack
+        rest = without_shared(seen["text"], text, 8 if overlaps else 10)
+        return rest if overlaps else text if len(rest) >= min(6, 0.3 * len(text)) else ""
+
+    def add(kept: list[dict], row: dict) -> list[dict]:
+        texts = accumulate(reversed(kept[-look_back:]), lambda text, seen: said_anew(row, text, seen) if len(text.strip()) >= 3 else "", initial=row["text"])
+        *_, text = map(str.strip, texts)
+        if len(text) >= 3:
             kept.append(row | {"text": text} | ({} if text == row["text"].strip() else {"words": None}))
-    return kept
+        return kept
+
+    return reduce(add, sorted(rows, key=lambda r: (r["start"], r["start"] - r["end"])), [])
 
 
 def patched(rows: list[dict], patches: list[dict], pad: int = 500) -> list[dict]:

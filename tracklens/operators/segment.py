@@ -26,17 +26,18 @@ def pause_segments(words: DataFrame, pause: int = 800) -> DataFrame:
 def capped_runs(words: Column, pause: int = 800, most: int = 28_000) -> Column:
     """An array of words cut into an array of runs at pauses, and where a run would begin ``most`` before a word.
 
-    The cap starts anew at each cut, so this is a fold over the array, still inside the engine.
+    The cap starts anew at each cut, so this is a fold over the array, still inside the engine; it
+    carries the places of the cuts, not the words.
     """
 
     def step(acc: Column, w: Column) -> Column:
-        last = F.element_at(F.element_at(acc, -1), -1)
-        first = F.element_at(F.element_at(acc, -1), 1)
-        new = (F.size(acc) == 0) | (w["start"] - last["end"] >= pause) | (w["start"] - first["start"] >= most)
-        grown = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat(F.element_at(acc, -1), F.array(w))))
-        return F.when(new, F.concat(acc, F.array(F.array(w)))).otherwise(grown)
+        new = (acc["n"] == 0) | (w["start"] - acc["last"] >= pause) | (w["start"] - acc["first"] >= most)
+        cuts = F.when(new, F.concat(acc["cuts"], F.array(acc["n"] + 1))).otherwise(acc["cuts"])
+        return F.struct(cuts.alias("cuts"), (acc["n"] + 1).alias("n"), F.when(new, w["start"]).otherwise(acc["first"]).alias("first"), w["end"].alias("last"))
 
-    return F.aggregate(words, F.array().cast("array<array<struct<start:bigint,end:bigint,word:string>>>"), step)
+    none = F.struct(F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))
+    cuts = F.aggregate(words, none, step, lambda acc: acc["cuts"])
+    return F.transform(cuts, lambda c, k: F.slice(words, c, F.coalesce(F.get(cuts, k + 1), F.size(words) + 1) - c))
 
 
 def capped_segments(rows: DataFrame, pause: int = 800, most: int = 28_000) -> DataFrame:

@@ -502,14 +502,19 @@ def cer_split(spark, sf_dir):
 @query(f"""WITH {PAIRS}, n AS (SELECT id, translate(regexp_replace(ref, '[,.!?;:"''()<>\\[\\]{{}}~\\s-]', '', 'g'), '0123456789', '零一二三四五六七八九') AS r, translate(regexp_replace(hyp, '[,.!?;:"''()<>\\[\\]{{}}~\\s-]', '', 'g'), '0123456789', '零一二三四五六七八九') AS h FROM pairs)
 SELECT count(*) AS n_items, sum(length(r))::BIGINT AS n_ref, sum(length(h))::BIGINT AS n_hyp, CASE WHEN sum(length(r)) > 0 THEN round(sum(levenshtein(r, h))::DOUBLE / sum(length(r)), 6) ELSE 0 END AS cer FROM n""")
 def micro_cer(spark, sf_dir):
-    s = pairs(spark, sf_dir).select(T.score_udf()("ref", "hyp").alias("s")).select("s.*")
-    return T.micro(s).select("n_items", "n_ref", "n_hyp", "cer")
+    return _micro(pairs(spark, sf_dir))
+
+
+def _micro(passages):
+    """Rates need distances only, not edit paths."""
+    plain = F.pandas_udf(lambda s: pd.Series([T.normalized(t or "") for t in s]), "string")
+    n = passages.select(plain("ref").alias("r"), plain("hyp").alias("h")).agg(F.count("*").alias("n_items"), F.sum(F.length("r")).alias("n_ref"), F.sum(F.length("h")).alias("n_hyp"), F.sum(F.levenshtein("r", "h")).alias("errors"))
+    return n.select("n_items", "n_ref", "n_hyp", F.when(F.col("n_ref") > 0, F.round(F.col("errors") / F.col("n_ref"), 6)).otherwise(0.0).alias("cer"))
 
 
 @query()
 def micro_cer_all(spark, sf_dir):
-    s = pairs(spark, sf_dir, ascii_only=False).select(T.score_udf()("ref", "hyp").alias("s")).select("s.*")
-    return T.micro(s).select("n_items", "n_ref", "n_hyp", "cer")
+    return _micro(pairs(spark, sf_dir, ascii_only=False))
 
 
 @query(r"SELECT doc_id, regexp_replace(text, '[（(]\s*[^（()）]*?[A-Za-zÀ-ÿĀ-ſ][^（()）]*?\s*[)）]', '', 'g') AS text FROM documents")
@@ -543,12 +548,14 @@ def doc_hit(spark, sf_dir):
 
 @query()
 def phonetic_repair(spark, sf_dir):
-    """Glossary terms put in the place of what sounds like them, over the glossary's own sentences in many rows."""
-    lexicon = spark.sparkContext.broadcast(build(spark))
-    said = ["前面才税管理后面", "才税管理的要点", "旧帐和固定资产", "所得税的缴纳"]
-    f = F.pandas_udf(lambda s: pd.Series([T.repaired(t, ["财税管理", "所得税", "旧账"], lexicon.value)[0] for t in s]), "string")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.get(F.array(*map(F.lit, said)), (F.col("turn") % 4).cast("int")).alias("said"))
-    return rows.withColumn("text", f("said"))
+    """Glossary terms put in the place of what sounds like them, in all texts of the table with frequent letters as Han characters."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", _said("才税管理所的").alias("said"))
+    return rows.select("conv_id", "turn", T.repair_udf(["财税", "管里", "所得"], build(spark))("said").alias("r")).select("conv_id", "turn", "r.text", F.size("r.edits").alias("n_edits"))
+
+
+def _said(signs: str):
+    """Texts with the letters e, t, a, o, i, n as the given characters."""
+    return F.translate(F.coalesce("text", F.lit("")), "etaoin", signs)
 
 
 @query()
@@ -556,7 +563,7 @@ def homophone_constraint(spark, sf_dir):
     lexicon = spark.sparkContext.broadcast(build(spark))
     shape = "text string, rejected int, reason string, edits array<struct<pos:int,from:string,to:string>>"
     f = F.pandas_udf(lambda a, b: pd.DataFrame([T.constrained(x, y, lexicon.value) for x, y in zip(a, b)], columns=["text", "rejected", "reason", "edits"]), shape)
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit("旧帐和固定资产").alias("before"), F.when(F.col("turn") % 2 == 0, "旧账和固定资全").otherwise("旧账").alias("after"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", _said("才税管理所的").alias("before"), F.when(F.col("turn") % 2 == 0, _said("财水管里全得")).otherwise(F.concat(_said("财水管里全得"), F.lit("账"))).alias("after"))
     return rows.select("conv_id", "turn", f("before", "after").alias("c")).select("conv_id", "turn", "c.text", "c.rejected", "c.reason")
 
 
