@@ -135,3 +135,17 @@ def test_bound_is_below_the_optimum(sizes):
     assert packing.lower_bound(np.bincount(sizes, minlength=13) if sizes else np.zeros(13, int), 12) <= optimum
     bins, offset, fill = packing.best_fit_decreasing(np.sort(np.array(sizes, int))[::-1], 12)
     assert len(fill) >= optimum and (len(fill) == 0 or fill.max() <= 12)
+
+
+def test_letters_before_commas_and_stops():
+    import unicodedata
+    from array import array
+
+    from tracklens.llm.tokens import Encoder, vocabulary
+
+    letters = [c for c in map(chr, range(0xC0, 0x2000)) if unicodedata.category(c) != "Cn"]
+    texts = [f"a{c}{s}b {c}{s} x{s}{c} {c}{s}{c}" for c in letters for s in ".,"]
+    for name, drops_space in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        coder = Encoder(vocabulary(name), drops_space)
+        want = [array("I", e.ids).tobytes() for e in coder.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        assert coder.encode_batch(texts) == want
