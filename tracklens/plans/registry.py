@@ -13,7 +13,7 @@ from ..functions.lexicon import build
 from ..operators import audit, intervals, merge, paragraphs, segment, speakers
 from ..sources import readers, writers
 from ..streaming import windows as streams
-from .views import CONV, EV, ISLANDS, PAIRS, conversation_segments, event_segments, pairs, recordings_of, table
+from .views import CONV, EV, ISLANDS, conversation_segments, event_segments, pairs, recordings_of, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -91,12 +91,12 @@ def starved_spans_chopped(spark, sf_dir):
     return intervals.starved_spans(event_segments(spark, sf_dir))
 
 
-SPANS = "spans AS (SELECT recording_id, start AS a, start + 1800000 AS b, row_number() OVER (PARTITION BY recording_id ORDER BY seg_ord)::INT AS span_ord FROM ev_seg WHERE text = 'purchase' AND seg_ord % 5 = 0)"
+SPANS = "spans AS (SELECT recording_id, start AS a, start + 1800000 AS b, row_number() OVER (PARTITION BY recording_id ORDER BY seg_ord)::INT AS span_ord FROM ev_seg WHERE text = 'purchase')"
 
 
-def _spans(e: DataFrame, which: str = "seg_ord % 5 = 0") -> DataFrame:
+def _spans(e: DataFrame) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("recording_id").orderBy("seg_ord"))
-    return e.where(f"text = 'purchase' AND {which}").select("recording_id", F.col("start").alias("a"), (F.col("start") + 1_800_000).alias("b"), nth.alias("span_ord"))
+    return e.where("text = 'purchase'").select("recording_id", F.col("start").alias("a"), (F.col("start") + 1_800_000).alias("b"), nth.alias("span_ord"))
 
 
 IN_ANY = f"WITH {EV}, {SPANS} SELECT recording_id, seg_ord, start FROM ev_seg e WHERE {{0}} EXISTS (SELECT 1 FROM spans s WHERE s.recording_id = e.recording_id AND e.start BETWEEN s.a - 200 AND s.b + 200)"
@@ -126,33 +126,6 @@ def overlap_join(spark, sf_dir):
     return intervals.overlapping_chars(e, _spans(e))
 
 
-# The queries with SQL above take a part of the rows, as their SQL does; those named _all take every one.
-
-
-@query()
-def in_any_semi_all(spark, sf_dir):
-    e = event_segments(spark, sf_dir)
-    return intervals.in_any(e, _spans(e, "true"), 200).select("recording_id", "seg_ord", "start")
-
-
-@query()
-def in_any_anti_all(spark, sf_dir):
-    e = event_segments(spark, sf_dir)
-    return intervals.in_any(e, _spans(e, "true"), 200, keep=False).select("recording_id", "seg_ord", "start")
-
-
-@query()
-def in_any_bucketed_all(spark, sf_dir):
-    e = event_segments(spark, sf_dir)
-    return intervals.in_any(e, _spans(e, "true"), 200, step=HOUR).select("recording_id", "seg_ord", "start")
-
-
-@query()
-def overlap_join_all(spark, sf_dir):
-    e = event_segments(spark, sf_dir)
-    return intervals.overlapping_chars(e, _spans(e, "true"))
-
-
 # ---- audit
 
 
@@ -215,26 +188,17 @@ def quiet_windows(spark, sf_dir):
 
 ENERGY = """energy AS (SELECT recording_id, frame_ord, 160::BIGINT AS n_samples, ((seg * 7919) % 1000003)::DOUBLE * 160 AS sum_sq
   FROM (SELECT (o_custkey % 20)::VARCHAR AS recording_id, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) - 1 AS frame_ord, o_orderkey AS seg FROM orders)),
-ranges AS (SELECT recording_id, frame_ord * 10 + 3 AS a, frame_ord * 10 + 3 + (frame_ord % 40) * 10 AS b FROM energy WHERE frame_ord % 7 = 0)"""
+ranges AS (SELECT recording_id, frame_ord * 10 + 3 AS a, frame_ord * 10 + 3 + (frame_ord % 40) * 10 AS b FROM energy)"""
 
 
 @query(f"""WITH {ENERGY} SELECT r.recording_id, r.a, r.b, CASE WHEN sum(n_samples) >= 800 THEN round(20 * log10(greatest(sqrt(sum(sum_sq) / sum(n_samples)), 1e-9) / 32768), 6) END AS db
 FROM ranges r LEFT JOIN energy e ON e.recording_id = r.recording_id AND e.frame_ord >= r.a // 10 AND e.frame_ord < r.b // 10 GROUP BY ALL""")
 def energy_db_range(spark, sf_dir):
-    return _range_db(spark, sf_dir, "frame_ord % 7 = 0")
-
-
-@query()
-def energy_db_range_all(spark, sf_dir):
-    return _range_db(spark, sf_dir, "true")
-
-
-def _range_db(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     place = F.row_number().over(Window.partitionBy(F.col("o_custkey") % 20).orderBy("o_orderkey")).cast("long") - 1
     energy = o.select((F.col("o_custkey") % 20).cast("string").alias("recording_id"), place.alias("frame_ord"), F.lit(160).cast("long").alias("n_samples"), ((F.col("o_orderkey") * 7919 % 1000003).cast("double") * 160).alias("sum_sq"))
     f = F.col("frame_ord")
-    ranges = energy.where(which).select("recording_id", (f * 10 + 3).alias("a"), (f * 10 + 3 + f % 40 * 10).alias("b"))
+    ranges = energy.select("recording_id", (f * 10 + 3).alias("a"), (f * 10 + 3 + f % 40 * 10).alias("b"))
     return audit.range_db(ranges, energy).withColumn("db", F.round("db", 6))
 
 
@@ -251,8 +215,8 @@ def bucket_winner(spark, sf_dir):
 PATCH = f"""{SPANS}, patch AS (SELECT s.recording_id, span_ord, a, b, pass_id AS attempt_ord, e.start, e."end", chars, e.seg_ord, e.text FROM spans s JOIN ev_seg e ON s.recording_id = e.recording_id AND e.start BETWEEN s.a - 7200000 AND s.b + 7200000)"""
 
 
-def _patch(e: DataFrame, which: str = "seg_ord % 5 = 0") -> DataFrame:
-    s = _spans(e, which).withColumnRenamed("recording_id", "of")
+def _patch(e: DataFrame) -> DataFrame:
+    s = _spans(e).withColumnRenamed("recording_id", "of")
     met = s.join(e, (s["of"] == e["recording_id"]) & (F.col("start") >= F.col("a") - 7_200_000) & (F.col("start") <= F.col("b") + 7_200_000))
     return met.select("recording_id", "span_ord", "a", "b", F.col("pass_id").alias("attempt_ord"), "start", "end", "chars", "seg_ord", "text")
 
@@ -263,11 +227,6 @@ def best_attempt(spark, sf_dir):
     return merge.best_attempts(_patch(event_segments(spark, sf_dir)))
 
 
-@query()
-def best_attempt_all(spark, sf_dir):
-    return merge.best_attempts(_patch(event_segments(spark, sf_dir), "true"))
-
-
 def _turns(spark, sf_dir) -> DataFrame:
     """Turns of one pass and, shifted and with a shared beginning, of another."""
     c = conversation_segments(spark, sf_dir)
@@ -358,21 +317,16 @@ def speaker_naming(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select(F.concat(F.col("label").cast("string"), F.lit("-"), F.pmod(F.col("vec_id"), F.lit(20)).cast("string")).alias("recording_id"), F.col("vec_id").cast("int").alias("seg_ord"), "embedding")
+    return table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("recording_id"), F.col("vec_id").cast("int").alias("seg_ord"), "embedding")
 
 
-@query("""WITH v AS (SELECT label::VARCHAR || '-' || (vec_id % 20)::VARCHAR AS recording_id, vec_id::INT AS id, embedding FROM embeddings)
+@query("""WITH v AS (SELECT label::VARCHAR AS recording_id, vec_id::INT AS id, embedding FROM embeddings)
 SELECT a.recording_id, a.id AS i, b.id AS j, round(1 - list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])), 6) AS distance
 FROM v a JOIN v b ON a.recording_id = b.recording_id AND a.id < b.id""")
 def cosine_pairs(spark, sf_dir):
     return speakers.cosine_pairs(_vectors(spark, sf_dir))
 
 
-@query()
-def cosine_pairs_all(spark, sf_dir):
-    return speakers.cosine_pairs(_vectors(spark, sf_dir).withColumn("recording_id", F.regexp_extract("recording_id", "^(.*)-", 1)))
-
-
 @query()
 def avg_linkage_clusters(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("recording_id"), F.col("vec_id").cast("int").alias("seg_ord"), (F.col("vec_id") * 1000).alias("start"), (F.col("vec_id") * 1000 + F.col("vec_id") % 9 * 200).alias("end"), "embedding")
@@ -481,42 +435,28 @@ def polish_chunks(spark, sf_dir):
 # ---- scoring
 
 
-@query(f"WITH {PAIRS} SELECT id, length(ref) AS n_ref, levenshtein(ref, hyp)::INT AS errors FROM pairs")
-def cer_total(spark, sf_dir):
-    return pairs(spark, sf_dir).select("id", F.length("ref").cast("long").alias("n_ref"), F.levenshtein("ref", "hyp").alias("errors"))
-
-
-# The queries with SQL score ASCII passages, as DuckDB's levenshtein counts bytes; those named _all score every one.
+# No SQL for these: DuckDB's levenshtein counts bytes, not characters.
 
 
 @query()
-def cer_total_all(spark, sf_dir):
-    return pairs(spark, sf_dir, ascii_only=False).select("id", F.length("ref").cast("long").alias("n_ref"), F.levenshtein("ref", "hyp").alias("errors"))
+def cer_total(spark, sf_dir):
+    return pairs(spark, sf_dir).select("id", F.length("ref").cast("long").alias("n_ref"), F.levenshtein("ref", "hyp").alias("errors"))
 
 
 @query()
 def cer_split(spark, sf_dir):
-    return pairs(spark, sf_dir, ascii_only=False).select("id", T.score_udf()("ref", "hyp").alias("s")).select("id", "s.*")
+    return pairs(spark, sf_dir).select("id", T.score_udf()("ref", "hyp").alias("s")).select("id", "s.*")
 
 
-@query(f"""WITH {PAIRS}, n AS (SELECT id, translate(regexp_replace(ref, '[,.!?;:"''()<>\\[\\]{{}}~\\s-]', '', 'g'), '0123456789', '零一二三四五六七八九') AS r, translate(regexp_replace(hyp, '[,.!?;:"''()<>\\[\\]{{}}~\\s-]', '', 'g'), '0123456789', '零一二三四五六七八九') AS h FROM pairs)
-SELECT count(*) AS n_items, sum(length(r))::BIGINT AS n_ref, sum(length(h))::BIGINT AS n_hyp, CASE WHEN sum(length(r)) > 0 THEN round(sum(levenshtein(r, h))::DOUBLE / sum(length(r)), 6) ELSE 0 END AS cer FROM n""")
+@query()
 def micro_cer(spark, sf_dir):
-    return _micro(pairs(spark, sf_dir))
-
-
-def _micro(passages):
     """Rates need distances only, not edit paths."""
     plain = F.pandas_udf(lambda s: pd.Series([T.normalized(t or "") for t in s]), "string")
-    n = passages.select(plain("ref").alias("r"), plain("hyp").alias("h")).agg(F.count("*").alias("n_items"), F.sum(F.length("r")).alias("n_ref"), F.sum(F.length("h")).alias("n_hyp"), F.sum(F.levenshtein("r", "h")).alias("errors"))
+    passages = pairs(spark, sf_dir).select(plain("ref").alias("r"), plain("hyp").alias("h"))
+    n = passages.agg(F.count("*").alias("n_items"), F.sum(F.length("r")).alias("n_ref"), F.sum(F.length("h")).alias("n_hyp"), F.sum(F.levenshtein("r", "h")).alias("errors"))
     return n.select("n_items", "n_ref", "n_hyp", F.when(F.col("n_ref") > 0, F.round(F.col("errors") / F.col("n_ref"), 6)).otherwise(0.0).alias("cer"))
 
 
-@query()
-def micro_cer_all(spark, sf_dir):
-    return _micro(pairs(spark, sf_dir, ascii_only=False))
-
-
 @query(r"SELECT doc_id, regexp_replace(text, '[（(]\s*[^（()）]*?[A-Za-zÀ-ÿĀ-ſ][^（()）]*?\s*[)）]', '', 'g') AS text FROM documents")
 def gloss_strip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.without_gloss(F.col("text")).alias("text"))

@@ -59,14 +59,8 @@ ISLANDS = """{1} AS (SELECT recording_id, island, min(start) AS a, max("end") AS
     SELECT *, max("end") OVER (PARTITION BY recording_id ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {0})) GROUP BY ALL)"""
 
 
-def pairs(spark: SparkSession, sf_dir: str, ascii_only: bool = True) -> DataFrame:
-    """References and damaged hypotheses: passages (of ASCII only, as in SQL, or all), every 17th character lost, vowels changed in odd items."""
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References and damaged hypotheses: every passage, every 17th character lost, vowels changed in odd items."""
     b = table(spark, sf_dir, "benchmark")
-    if ascii_only:
-        b = b.where(~F.col("text").rlike("[^\\x00-\\x7F]"))
     lost = F.regexp_replace("text", "(?s)(.{16}).", "$1")
     return b.select(F.col("item_id").alias("id"), F.col("text").alias("ref"), F.when(F.col("item_id") % 2 == 1, F.translate(lost, "aeiou", "eioua")).otherwise(lost).alias("hyp"))
-
-
-PAIRS = r"""pairs AS (SELECT item_id AS id, text AS ref, CASE WHEN item_id % 2 = 1 THEN translate(lost, 'aeiou', 'eioua') ELSE lost END AS hyp
-  FROM (SELECT *, regexp_replace(text, '(?s)(.{16}).', '\1', 'g') AS lost FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7F]')))"""
