@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .intervals import KEY
+from .intervals import KEY, chars_before
 
 BUCKET = 30_000
 
@@ -35,9 +35,25 @@ def winning_rows(segs: DataFrame, recordings: DataFrame, width: int = BUCKET) ->
 def best_attempts(patch: DataFrame, pad: int = 500) -> DataFrame:
     """For each span the attempt with most characters near it, the earlier one on a tie: recording_id, span_ord, attempt_ord, chars."""
     near = patch.where((F.col("start") >= F.col("a") - pad) & (F.col("start") <= F.col("b") + pad))
-    sums = near.groupBy(KEY, "span_ord", "attempt_ord").agg(F.sum("chars").alias("chars")).where("chars > 0")
+    return _most(near.groupBy(KEY, "span_ord", "attempt_ord").agg(F.sum("chars").alias("chars")))
+
+
+def best_attempts_at(spans: DataFrame, rows: DataFrame, pad: int = 500) -> DataFrame:
+    """``best_attempts`` where attempts are whole passes over a recording, not rows made for one span.
+
+    ``spans``: recording_id, span_ord, a, b; ``rows``: recording_id, attempt_ord, start, chars.  Spans do
+    not meet rows: an attempt's characters near a span are the difference of two running sums.
+    """
+    rows = rows.where(F.col(KEY).isNotNull() & F.col("start").isNotNull()).select(KEY, "attempt_ord", F.col("start").alias("at"), "chars")
+    edges = F.array(F.struct((F.col("a") - pad).cast("long").alias("at"), F.lit(-1).alias("sign")), F.struct((F.col("b") + pad + 1).cast("long").alias("at"), F.lit(1).alias("sign")))
+    asks = spans.where(F.col("a") - pad <= F.col("b") + pad).join(rows.select(KEY, "attempt_ord").distinct(), KEY).select(KEY, "attempt_ord", "span_ord", F.explode(edges).alias("e"))
+    sums = chars_before(rows, asks.select(KEY, "attempt_ord", "span_ord", "e.*"), [KEY, "attempt_ord"]).repartition(KEY, "span_ord")
+    return _most(sums.groupBy(KEY, "span_ord", "attempt_ord").agg(F.sum(F.col("sign") * F.col("before")).alias("chars")))
+
+
+def _most(sums: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy(KEY, "span_ord").orderBy(F.desc("chars"), "attempt_ord"))
-    return sums.withColumn("nth", first).where("nth = 1").drop("nth")
+    return sums.where("chars > 0").withColumn("nth", first).where("nth = 1").drop("nth")
 
 
 def without_shared(old: str, new: str, least: int) -> str:
