@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
-from functools import reduce
-from itertools import accumulate
+from functools import lru_cache, reduce
+from itertools import accumulate, compress
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,13 +57,89 @@ def _most(sums: DataFrame) -> DataFrame:
     return sums.where("chars > 0").withColumn("nth", first).where("nth = 1").drop("nth")
 
 
+def _grams(text: str, n: int) -> list[str]:
+    return [text[i : i + n] for i in range(len(text) - n + 1)]
+
+
+def _hashes(text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The characters of ``text``, and a hash of the ``n`` from each on."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    count = max(0, len(chars) - n + 1)
+    h = np.zeros(count, np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + chars[k : k + count]
+    return chars, h
+
+
+@lru_cache(maxsize=16)
+def _index(text: str, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    chars, h = _hashes(text, n)
+    order = h.argsort(kind="stable")
+    return chars, h[order], order
+
+
+def _common_runs(old: str, new: str, least: int, most: int = 1_000_000):
+    """The longest common runs (places in old and new, lengths less ``least`` - 1); None if above ``most`` places match."""
+    (x, found, order), (y, h) = _index(old, least), _hashes(new, least)
+    none = np.empty(0, int), np.empty(0, int), np.empty(0, int)
+    if not len(found) or not len(h):
+        return none
+    lo = found.searchsorted(h)
+    j = np.flatnonzero(found[np.minimum(lo, len(found) - 1)] == h)
+    if not len(j):
+        return none
+    n = found.searchsorted(h[j], "right") - lo[j]
+    if n.sum() > most:
+        return None
+    i = order[np.repeat(lo[j] - (n.cumsum() - n), n) + np.arange(n.sum())]
+    j = np.repeat(j, n)
+    same = np.logical_and.reduce([x[i + k] == y[j + k] for k in range(least)])  # hashes may be equal by chance
+    i, j = i[same], j[same]
+    by = np.lexsort((i, i - j))
+    i, j = i[by], j[by]
+    first = np.flatnonzero(np.r_[True, (np.diff(i) != 1) | (np.diff(j) != 1)][: len(i)])
+    return i[first], j[first], np.diff(np.r_[first, len(i)])
+
+
+def _finder(old: str, new: str, least: int):
+    """difflib's find_longest_match, with runs of ``least`` characters as letters; None if nothing is shared."""
+    runs = _common_runs(old, new, least)
+    if runs is None:  # the same character over and over: more time, but no more memory
+        match = SequenceMatcher(None, _grams(old, least), _grams(new, least), autojunk=False)
+        return lambda *window: tuple(match.find_longest_match(*window))
+    at, to, size = runs
+    if not len(at):
+        return None
+
+    def find(a, a_end, b, b_end):
+        skip = np.maximum(np.maximum(a - at, b - to), 0)
+        n = np.minimum(np.minimum(size, a_end - at), b_end - to) - skip
+        best = np.flatnonzero(n == n.max())
+        k = min(best, key=lambda k: (at[k] + skip[k], to[k] + skip[k]))
+        return int(at[k] + skip[k]), int(to[k] + skip[k]), max(0, int(n[k]))
+
+    return find
+
+
 def without_shared(old: str, new: str, least: int) -> str:
-    """``new`` without the blocks of ``least`` or more characters that it shares with ``old``."""
-    gone = [False] * len(new)
-    for m in SequenceMatcher(None, old, new, autojunk=False).get_matching_blocks():
-        if m.size >= least:
-            gone[m.b : m.b + m.size] = [True] * m.size
-    return "".join(c for c, g in zip(new, gone) if not g)
+    """``new`` without the blocks of ``least`` or more characters that it shares with ``old``.
+
+    The blocks are difflib's.  As it looks for the longest first, nothing remains to be found where that is
+    shorter, so runs of ``least`` characters serve as its letters; texts without a common run cost next to nothing.
+    """
+    find, left, todo = _finder(old, new, least), [True] * len(new), [(0, len(old), 0, len(new))]
+    if find is None:
+        return new
+    while todo:
+        a, a_end, b, b_end = todo.pop()
+        if min(a_end - a, b_end - b) < least:
+            continue
+        i, j, size = find(a, a_end - least + 1, b, b_end - least + 1)
+        if size:
+            size += least - 1
+            left[j : j + size] = [False] * size
+            todo += [(a, i, b, j), (i + size, a_end, j + size, b_end)]
+    return "".join(compress(new, left))
 
 
 def deduplicated(rows: list[dict], look_back: int = 6, slack: int = 300) -> list[dict]:
