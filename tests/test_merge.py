@@ -36,3 +36,29 @@ def test_texts_without_shared_blocks_are_quick():
     began = time.process_time()
     plain_without_shared(texts[0], texts[1], 10)
     assert quick < 10 * (time.process_time() - began)  # twenty of them cost less than ten of difflib's, by far
+
+
+def plain_patched(rows, patches, pad=500):
+    for p in patches:
+        have = sum(len(r["text"]) for r in rows if r["start"] < p["b"] and r["end"] > p["a"])
+        if 2 * sum(len(r["text"]) for r in p["rows"]) > 3 * have + 20:
+            rows = [r for r in rows if r["start"] < p["a"] - pad or r["end"] > p["b"] + pad] + p["rows"]
+    return rows
+
+
+def test_many_patches_of_a_long_recording():
+    some = random.Random(8)
+    row = lambda a, n, size: {"start": a, "end": a + n, "text": "x" * size}
+    rows = [row(2000 * k, some.randint(0, 2500), some.randint(3, 40)) for k in range(6000)]
+    patches = []
+    for k in range(0, 6000, 3):
+        a = 2000 * k + some.randint(-600, 600)
+        b = a + some.randint(0, 6000)
+        patches.append({"a": a, "b": b, "rows": [row(some.randint(a, b), 900, some.randint(0, 90)) for _ in range(some.randint(0, 3))]})
+    began = time.process_time()
+    got = merge.patched(rows, patches)
+    quick = time.process_time() - began
+    began = time.process_time()
+    assert got == plain_patched(rows, patches) and got != rows
+    assert quick < 0.5 * (time.process_time() - began)
+    assert merge.patched([], []) == [] and merge.patched([], patches) == plain_patched([], patches)

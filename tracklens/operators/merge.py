@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 from functools import lru_cache, reduce
-from itertools import accumulate, compress
+from itertools import accumulate, compress, groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -171,10 +172,13 @@ def patched(rows: list[dict], patches: list[dict], pad: int = 500) -> list[dict]
 
     A patch must have over half as many characters again as the rows that overlap its span, and 10 more.
     """
+    times = lambda rows: np.array([(r["start"], r["end"], len(r["text"])) for r in rows], float).reshape(-1, 3)
+    at = times(rows)
     for p in patches:
-        have = sum(len(r["text"]) for r in rows if r["start"] < p["b"] and r["end"] > p["a"])
+        have = at[(at[:, 0] < p["b"]) & (at[:, 1] > p["a"]), 2].sum()
         if 2 * sum(len(r["text"]) for r in p["rows"]) > 3 * have + 20:
-            rows = [r for r in rows if r["start"] < p["a"] - pad or r["end"] > p["b"] + pad] + p["rows"]
+            keep = (at[:, 0] < p["a"] - pad) | (at[:, 1] > p["b"] + pad)
+            rows, at = [*compress(rows, keep), *p["rows"]], np.concatenate([at[keep], times(p["rows"])])
     return rows
 
 
@@ -193,11 +197,11 @@ def merged(rows: DataFrame, patch: DataFrame | None = None) -> DataFrame:
         kinds = kinds.unionByName(patch.select(KEY, "span_ord", "a", "b", "row_ord", "start", "end", "text", F.lit("patch").alias("src")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["span_ord", "row_ord"], kind="stable")
-        rec = pdf[KEY].iloc[0]
-        cols = ["start", "end", "text", "src"]
-        base = pdf[pdf.span_ord < 0][cols].to_dict("records")
-        patches = [{"a": g.a.iloc[0], "b": g.b.iloc[0], "rows": g[cols].to_dict("records")} for _, g in pdf[pdf.span_ord >= 0].groupby("span_ord")]
+        rec, cols = pdf[KEY].iloc[0], ["start", "end", "text", "src"]
+        rows = sorted(zip(*(pdf[c].tolist() for c in ["span_ord", "row_ord", "a", "b", *cols])), key=itemgetter(0, 1))
+        spans = {span: [*group] for span, group in groupby(rows, key=itemgetter(0))}
+        base, *_ = [[dict(zip(cols, r[4:])) for r in group] for span, group in spans.items() if span < 0] or [[]]
+        patches = [{"a": group[0][2], "b": group[0][3], "rows": [dict(zip(cols, r[4:])) for r in group]} for span, group in spans.items() if span >= 0]
         out = deduplicated(patched(deduplicated(base), patches))
         return pd.DataFrame([(rec, i, r["start"], r["end"], r["text"], r["src"]) for i, r in enumerate(out)], columns=["recording_id", "row_ord", *cols])
 
